@@ -1,4 +1,8 @@
-"""Polylines as `array<struct<x:double,y:double>>` in metres, and distances to them."""
+"""Polylines as `array<struct<x:double,y:double>>` in metres, and distances to them.
+
+Ten-metre pieces nearly always have two vertices. Each function answers that case with plain
+arithmetic, which stays in generated code; array lambdas run only for lines with bends.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,14 @@ def straight(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     )
 
 
+def ends(line: Column) -> tuple[Column, Column]:
+    return F.get(line, F.lit(0)), F.get(line, F.lit(1))
+
+
+def by_shape(line: Column, two_vertices: Column, otherwise: Column) -> Column:
+    return F.when(F.size(line) == 2, two_vertices).otherwise(otherwise)
+
+
 def edges(line: Column) -> Column:
     """Consecutive vertex pairs."""
     head = F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
@@ -29,11 +41,13 @@ def gap(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def length(line: Column) -> Column:
-    return F.aggregate(
+    a, b = ends(line)
+    walked = F.aggregate(
         edges(line),
         F.lit(0.0),
         lambda total, e: total + gap(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]),
     )
+    return by_shape(line, gap(a["x"], a["y"], b["x"], b["y"]), walked)
 
 
 def point_to_edge(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -50,8 +64,11 @@ def point_to_line(px: Column, py: Column, line: Column) -> Column:
         edges(line),
         lambda e: point_to_edge(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]),
     )
-    return F.coalesce(
-        F.array_min(along), F.when(F.size(line) == 1, gap(px, py, line[0]["x"], line[0]["y"]))
+    a, b = ends(line)
+    return (
+        F.when(F.size(line) == 2, point_to_edge(px, py, a["x"], a["y"], b["x"], b["y"]))
+        .when(F.size(line) == 1, gap(px, py, a["x"], a["y"]))
+        .otherwise(F.array_min(along))
     )
 
 
@@ -93,19 +110,30 @@ def centroid(line: Column) -> tuple[Column, Column]:
             * gap(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]),
         )
 
+    a, b = ends(line)
     return tuple(
-        F.when(total > 0, weighted(axis) / total).otherwise(line[0][axis]) for axis in ("x", "y")
+        by_shape(
+            line,
+            (a[axis] + b[axis]) / 2,
+            F.when(total > 0, weighted(axis) / total).otherwise(a[axis]),
+        )
+        for axis in ("x", "y")
     )
 
 
 def bounds(line: Column) -> Column:
-    xs = F.transform(line, lambda p: p["x"])
-    ys = F.transform(line, lambda p: p["y"])
+    a, b = ends(line)
+
+    def side(axis: str, low: bool) -> Column:
+        values = F.transform(line, lambda p: p[axis])
+        pair = (F.least if low else F.greatest)(a[axis], b[axis])
+        return by_shape(line, pair, (F.array_min if low else F.array_max)(values))
+
     return F.struct(
-        F.array_min(xs).alias("x0"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(xs).alias("x1"),
-        F.array_max(ys).alias("y1"),
+        side("x", True).alias("x0"),
+        side("y", True).alias("y0"),
+        side("x", False).alias("x1"),
+        side("y", False).alias("y1"),
     )
 
 
@@ -125,7 +153,12 @@ def measured(line: Column) -> Column:
             F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"), (last["m"] + step).alias("m"))),
         )
 
-    return F.aggregate(rest, start, extend)
+    a, b = ends(line)
+    pair = F.array(
+        F.struct(a["x"].alias("x"), a["y"].alias("y"), F.lit(0.0).alias("m")),
+        F.struct(b["x"].alias("x"), b["y"].alias("y"), gap(a["x"], a["y"], b["x"], b["y"]).alias("m")),
+    )
+    return by_shape(line, pair, F.aggregate(rest, start, extend))
 
 
 def cut(vertices: Column, start: Column, end: Column) -> Column:
@@ -148,4 +181,17 @@ def cut(vertices: Column, start: Column, end: Column) -> Column:
         F.filter(vertices, lambda v: (v["m"] > start) & (v["m"] < end)),
         lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")),
     )
-    return F.concat(F.array(place(start)), inside, F.array(place(end)))
+    a, b = ends(vertices)
+
+    def on_edge(at: Column) -> Column:
+        share = at / b["m"]
+        return F.struct(
+            (a["x"] + share * (b["x"] - a["x"])).alias("x"),
+            (a["y"] + share * (b["y"] - a["y"])).alias("y"),
+        )
+
+    return by_shape(
+        vertices,
+        F.array(on_edge(start), on_edge(end)),
+        F.concat(F.array(place(start)), inside, F.array(place(end))),
+    )

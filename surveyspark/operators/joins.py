@@ -167,12 +167,10 @@ def near_pairs(
     keys = keys or []
     x, y = (F.col(c) for c in point_xy)
     x0, y0, x1, y1 = (F.col(c) for c in shape_box)
-    placed = points.where(x.isNotNull() & y.isNotNull()).withColumns(
-        {"_cx": cell_of(x, cell), "_cy": cell_of(y, cell)}
-    )
+    # Rows without a position fall out by themselves: a null cell joins nothing.
+    placed = points.withColumns({"_cx": cell_of(x, cell), "_cy": cell_of(y, cell)})
     covering = (
-        shapes.where(x0.isNotNull() & y0.isNotNull())
-        .withColumn("_cx", F.explode(F.sequence(cell_of(x0 - radius, cell), cell_of(x1 + radius, cell))))
+        shapes.withColumn("_cx", F.explode(F.sequence(cell_of(x0 - radius, cell), cell_of(x1 + radius, cell))))
         .withColumn("_cy", F.explode(F.sequence(cell_of(y0 - radius, cell), cell_of(y1 + radius, cell))))
     )
     placed, covering, on = split_hot_groups(
