@@ -150,5 +150,5 @@ def with_views(sql: str, *extra: tuple[str, str]) -> str:
         needed.append(view)
         pending += [v for v in VIEWS if v != view and re.search(rf"\b{v}\b", VIEWS[view])]
     ctes = [f"{v} as ({VIEWS[v]})" for v in VIEWS if v in needed]
-    ctes += [f"{name} as ({body})" for name, body in parts]
+    ctes += [f"{name} as materialized ({body})" for name, body in parts]
     return f"with {', '.join(ctes)}\n{sql}" if ctes else sql

@@ -31,14 +31,20 @@ def build(app: str = "surveyspark", cpus: str = "*") -> SparkSession:
     return prepare(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so lost executors cost no rework."""
-    context = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names, a local one only in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder, so lost executors cost no rework."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
