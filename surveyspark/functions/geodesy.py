@@ -7,8 +7,9 @@ within 1e-7 of the full solution at survey distances. The plane uses Krüger's n
 from __future__ import annotations
 
 import math
+from string import Formatter
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULTS, Params
@@ -20,20 +21,19 @@ GRS80_A = 6378137.0
 GRS80_F = 1 / 298.257222101
 
 
-def geodesic_step(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
-    """Distance in metres and forward azimuth in degrees, 0 to 360."""
+def geodesic_step(lat1: str, lon1: str, lat2: str, lon2: str) -> tuple[Column, Column]:
+    """Distance in metres and forward azimuth in degrees (0 to 360) between named columns."""
     e2 = WGS84_F * (2 - WGS84_F)
-    middle = F.radians((lat1 + lat2) / 2)
-    d_lat = F.radians(lat2 - lat1)
-    d_lon = F.radians(lon2 - lon1)
-    shrink = 1 - e2 * F.sin(middle) * F.sin(middle)
-    prime = WGS84_A / F.sqrt(shrink)
-    meridian = WGS84_A * (1 - e2) / (shrink * F.sqrt(shrink))
-    north = meridian * d_lat
-    east = prime * F.cos(middle) * d_lon
-    distance = F.sqrt(north * north + east * east)
-    azimuth = F.degrees(F.atan2(east, north) - d_lon * F.sin(middle) / 2)
-    return distance, F.pmod(azimuth + 360, F.lit(360.0))
+    middle = f"radians(({lat1} + {lat2}) / 2)"
+    d_lat, d_lon = f"radians({lat2} - {lat1})", f"radians({lon2} - {lon1})"
+    shrink = f"(1D - {e2!r}D * sin({middle}) * sin({middle}))"
+    north = f"({WGS84_A * (1 - e2)!r}D / ({shrink} * sqrt({shrink})) * {d_lat})"
+    east = f"({WGS84_A!r}D / sqrt({shrink}) * cos({middle}) * {d_lon})"
+    azimuth = f"degrees(atan2({east}, {north}) - {d_lon} * sin({middle}) / 2)"
+    return (
+        F.expr(f"sqrt({north} * {north} + {east} * {east})"),
+        F.expr(f"pmod({azimuth} + 360D, 360D)"),
+    )
 
 
 def angle_difference(a: Column, b: Column) -> Column:
@@ -48,10 +48,6 @@ def axis_difference(a: Column, b: Column) -> Column:
     return F.least(turn, F.abs(180 - turn))
 
 
-def bearing(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.pmod(F.degrees(F.atan2(x1 - x0, y1 - y0)) + 360, F.lit(360.0))
-
-
 def _series(n: float) -> tuple[float, list[float], list[float]]:
     """Rectifying radius and the forward and inverse series coefficients (order 4)."""
     radius = GRS80_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -80,46 +76,119 @@ def _origin_northing(p: Params) -> float:
     return radius * (xi + sum(a * math.sin(2 * (j + 1) * xi) for j, a in enumerate(forward)))
 
 
-def project(lat: Column, lon: Column, p: Params = DEFAULTS) -> tuple[Column, Column]:
-    """Easting and northing in metres on the survey plane."""
+# A stage maps named inputs to named SQL expressions over them. Steps are kept apart so that no
+# step repeats the expression of another; the series would otherwise grow with every use.
+Stage = dict[str, str]
+
+
+def forward_stages(p: Params = DEFAULTS) -> list[Stage]:
+    """`lat, lon` to `x, y` in metres."""
     n = GRS80_F / (2 - GRS80_F)
     radius, forward, _ = _series(n)
     e = 2 * math.sqrt(n) / (1 + n)
-    sin_phi = F.sin(F.radians(lat))
-    d_lon = F.radians(lon - p.tm_lon0)
-    t = F.sinh(F.atanh(sin_phi) - e * F.atanh(e * sin_phi))
-    xi = F.atan2(t, F.cos(d_lon))
-    eta = F.atanh(F.sin(d_lon) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(forward, start=1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    scale = p.tm_k0 * radius
-    return scale * x, scale * y - p.tm_k0 * _origin_northing(p)
-
-
-def unproject(x: Column, y: Column, p: Params = DEFAULTS) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees of a point on the survey plane."""
+    scale, shift = p.tm_k0 * radius, p.tm_k0 * _origin_northing(p)
+    sin_phi = "sin(radians({lat}))"
+    east = " + ".join(
+        f"{a!r}D * cos({2 * j} * {{xi}}) * sinh({2 * j} * {{eta}})" for j, a in enumerate(forward, 1)
+    )
+    north = " + ".join(
+        f"{a!r}D * sin({2 * j} * {{xi}}) * cosh({2 * j} * {{eta}})" for j, a in enumerate(forward, 1)
+    )
+    return [
+        {
+            "t": f"sinh(atanh({sin_phi}) - {e!r}D * atanh({e!r}D * {sin_phi}))",
+            "d": f"radians({{lon}} - {p.tm_lon0!r}D)",
+        },
+        {"xi": "atan2({t}, cos({d}))", "eta": "atanh(sin({d}) / sqrt(1D + {t} * {t}))"},
+        {
+            "x": f"{scale!r}D * ({{eta}} + {east})",
+            "y": f"{scale!r}D * ({{xi}} + {north}) - {shift!r}D",
+        },
+    ]
+
+
+def inverse_stages(p: Params = DEFAULTS) -> list[Stage]:
+    """`x, y` in metres back to `lat, lon` in degrees."""
     n = GRS80_F / (2 - GRS80_F)
     radius, _, inverse = _series(n)
     e2 = GRS80_F * (2 - GRS80_F)
-    scale = p.tm_k0 * radius
-    xi0 = (y + p.tm_k0 * _origin_northing(p)) / scale
-    eta0 = x / scale
-    xi, eta = xi0, eta0
-    for j, b in enumerate(inverse, start=1):
-        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    target = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
-    lon = p.tm_lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
     e = math.sqrt(e2)
-    # Two Newton steps bring the conformal latitude back to the geodetic one.
-    tau = target / (1 - e2)
-    for _ in range(2):
-        root = F.sqrt(1 + tau * tau)
-        sigma = F.sinh(e * F.atanh(e * tau / root))
-        guess = tau * F.sqrt(1 + sigma * sigma) - sigma * root
-        tau = tau + (target - guess) / F.sqrt(1 + guess * guess) * (
-            (1 + (1 - e2) * tau * tau) / ((1 - e2) * root)
-        )
-    return F.degrees(F.atan(tau)), lon
+    scale, shift = p.tm_k0 * radius, p.tm_k0 * _origin_northing(p)
+    back_xi = "".join(
+        f" - {b!r}D * sin({2 * j} * {{xi0}}) * cosh({2 * j} * {{eta0}})" for j, b in enumerate(inverse, 1)
+    )
+    back_eta = "".join(
+        f" - {b!r}D * cos({2 * j} * {{xi0}}) * sinh({2 * j} * {{eta0}})" for j, b in enumerate(inverse, 1)
+    )
+    # Newton's rule brings the conformal latitude back to the geodetic one; two steps suffice.
+    tangent = [
+        {
+            "goal": "{goal}",
+            "lon": "{lon}",
+            "tau": "{tau}",
+            "root": "sqrt(1D + {tau} * {tau})",
+            "sigma": f"sinh({e!r}D * atanh({e!r}D * {{tau}} / sqrt(1D + {{tau}} * {{tau}})))",
+        },
+        {
+            "goal": "{goal}",
+            "lon": "{lon}",
+            "tau": "{tau}",
+            "slope": f"(1D + {1 - e2!r}D * {{tau}} * {{tau}}) / ({1 - e2!r}D * {{root}})",
+            "guess": "{tau} * sqrt(1D + {sigma} * {sigma}) - {sigma} * {root}",
+        },
+        {
+            "goal": "{goal}",
+            "lon": "{lon}",
+            "tau": "{tau} + ({goal} - {guess}) / sqrt(1D + {guess} * {guess}) * {slope}",
+        },
+    ]
+    return [
+        {"xi0": f"({{y}} + {shift!r}D) / {scale!r}D", "eta0": f"{{x}} / {scale!r}D"},
+        {"xi": f"{{xi0}}{back_xi}", "eta": f"{{eta0}}{back_eta}"},
+        {
+            "goal": "sin({xi}) / sqrt(sinh({eta}) * sinh({eta}) + cos({xi}) * cos({xi}))",
+            "lon": f"{p.tm_lon0!r}D + degrees(atan2(sinh({{eta}}), cos({{xi}})))",
+        },
+        {"goal": "{goal}", "lon": "{lon}", "tau": f"{{goal}} / {1 - e2!r}D"},
+        *tangent,
+        *tangent,
+        {"lat": "degrees(atan({tau}))", "lon": "{lon}"},
+    ]
+
+
+def on_columns(df: DataFrame, stages: list[Stage], inputs: dict[str, str], out: dict[str, str]) -> DataFrame:
+    """Run stages as projections over the table; `out` maps result names to column names."""
+    held: list[str] = []
+    current = inputs
+    for i, stage in enumerate(stages):
+        named = {f"_p{i}_{k}": F.expr(text.format(**current)) for k, text in stage.items()}
+        df = df.withColumns(named)
+        held += named
+        current = {k: f"_p{i}_{k}" for k in stage}
+    return df.withColumns({name: F.col(current[k]) for k, name in out.items()}).drop(*held)
+
+
+def on_vertices(vertices: str, stages: list[Stage]) -> str:
+    """Run stages over an array of structs, as SQL text."""
+    for i, stage in enumerate(stages):
+        fields = {k: f"g{i}.{k}" for k in _inputs(stage)}
+        built = ", ".join(f"'{k}', {text.format(**fields)}" for k, text in stage.items())
+        vertices = f"transform({vertices}, g{i} -> named_struct({built}))"
+    return vertices
+
+
+def _inputs(stage: Stage) -> set[str]:
+    return {name for text in stage.values() for _, name, _, _ in Formatter().parse(text) if name}
+
+
+def with_plane(
+    df: DataFrame, lat: str = "lat", lon: str = "lon", x: str = "x_m", y: str = "y_m", p: Params = DEFAULTS
+) -> DataFrame:
+    """Adds plane coordinates; null where there is no position."""
+    return on_columns(df, forward_stages(p), {"lat": lat, "lon": lon}, {"x": x, "y": y})
+
+
+def with_degrees(
+    df: DataFrame, x: str, y: str, lat: str = "lat", lon: str = "lon", p: Params = DEFAULTS
+) -> DataFrame:
+    return on_columns(df, inverse_stages(p), {"x": x, "y": y}, {"lat": lat, "lon": lon})

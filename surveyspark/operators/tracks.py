@@ -37,7 +37,7 @@ def track_dynamics(points: DataFrame, *, group_rows: int | None = None) -> DataF
         .lag(_lat=F.col("lat"), _lon=F.col("lon"), _ts=F.col("timestamp"))
         .done()
     )
-    step, heading = geodesic_step(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    step, heading = geodesic_step("_lat", "_lon", "lat", "lon")
     elapsed = F.nullif(seconds_between(F.col("_ts"), F.col("timestamp")), F.lit(0.0))
     return (
         lagged.withColumns({"step_m": step, "heading_deg": heading})
@@ -136,7 +136,7 @@ def track_qc(points: DataFrame, *, gap_limit_s: float = 300.0, group_rows=None)
         .lag(_ts=F.col("timestamp"), _lat=F.col("lat"), _lon=F.col("lon"))
         .done()
     )
-    step, _ = geodesic_step(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    step, _ = geodesic_step("_lat", "_lon", "lat", "lon")
     gapped = lagged.withColumns(
         {"gap_s": seconds_between(F.col("_ts"), F.col("timestamp")), "step_m": step}
     )

@@ -52,7 +52,7 @@ def learning_table(
 
     Roads are recovered from ungated matches; only then are weak sessions taken out.
     """
-    base = rd.road_segments(road_parts, p)
+    base = checkpointed(rd.road_segments(road_parts, p))
     tracked = tr.track_dynamics(points)
     first = checkpointed(mm.map_match(tracked, base, p))
     noted = mm.event_nearest_road(events, base, p=p)

@@ -8,6 +8,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.geodesy import with_degrees
+from ..functions.timeops import night_key
 from ..operators import events as evt
 from ..operators import model as md
 from ..operators.recovery import RecoveryRules, recover_roads
@@ -30,8 +32,6 @@ from field_notes join (select event_id, user_id, event_type as kind from events)
 
 
 def log_documents(t: Tables):
-    from ..functions.timeops import night_key
-
     owner = t.events.select("event_id", "user_id")
     noted = t.field_notes.join(owner, "event_id").withColumn(
         "file", F.concat(F.col("user_id").cast("string"), F.lit("@"), night_key(F.col("timestamp")))
@@ -157,15 +157,11 @@ def _(t: Tables):
         F.struct(F.lit("Feature").alias("type"), tags.alias("properties"), geometry.alias("geometry"))
     )
     parsed = ingest.road_parts(ingest.parse_features(t.road_lines.select(text.alias("value"))))
-    from ..functions.geodesy import unproject
-
-    first = F.col("line")[0]
-    lon = unproject(first["x"], first["y"])[1]
-    return parsed.select(
+    return with_degrees(parsed, "line[0].x", "line[0].y").select(
         "way_id",
         F.col("part_index").cast("bigint").alias("part_index"),
         "highway",
-        F.round(lon, 6).alias("first_lon"),
+        F.round("lon", 6).alias("first_lon"),
         F.size("line").cast("bigint").alias("vertices"),
     )
 
@@ -198,11 +194,9 @@ def _(t: Tables):
         geometry,
         ["waterway", "natural", "landuse"],
     )
-    from ..functions.geodesy import unproject
-
-    lat, lon = unproject(F.col("x0"), F.col("y0"))
-    return ingest.context_features(ingest.parse_features(features)).select(
-        "context_class", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat")
+    parsed = ingest.context_features(ingest.parse_features(features))
+    return with_degrees(parsed, "x0", "y0").select(
+        "context_class", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")
     )
 
 

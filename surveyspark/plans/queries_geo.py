@@ -32,7 +32,7 @@ def parts(t: Tables):
         "way_id",
         F.lit(0).alias("part_index"),
         "highway",
-        pl.straight(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("line"),
+        F.expr(pl.straight("x0", "y0", "x1", "y1")).alias("line"),
     )
 
 
@@ -75,11 +75,12 @@ select way_id, (degrees(atan2(x1 - x0, y1 - y0)) + 360) % 360 as b1,
 )
 def _(t: Tables):
     # each road with one more vertex, so that it has a bend
-    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    third = pl.straight(x0 + (y1 - y0) + 1, y0 + (x1 - x0) + 40, x0, y0)[0]
-    bent = F.concat(pl.straight(x0, y0, x1, y1), F.array(third))
-    out = t.road_lines.select(
-        "way_id", pl.line_bearing(bent).alias("bearing_deg"), pl.curvature(bent).alias("curvature_deg")
+    third = pl.vertex("x0 + (y1 - y0) + 1", "y0 + (x1 - x0) + 40")
+    bent = F.expr(f"concat({pl.straight('x0', 'y0', 'x1', 'y1')}, array({third}))")
+    out = t.road_lines.select("way_id", bent.alias("line")).select(
+        "way_id",
+        F.expr(pl.line_bearing("line")).alias("bearing_deg"),
+        F.expr(pl.curvature("line")).alias("curvature_deg"),
     )
     return rounded(out, "bearing_deg", "curvature_deg")
 
@@ -116,7 +117,7 @@ def _(t: Tables):
         parts(t)
         .select(
             F.concat(F.lit("X_"), "way_id").alias("segment_id"),
-            pl.length(F.col("line")).alias("length_m"),
+            F.expr(pl.length("line")).alias("length_m"),
             F.lit("gpx_recovered").alias("road_source"),
         )
         .where("length_m > 0")
@@ -220,9 +221,8 @@ ALONG = """case when x1 = x0 and y1 = y0 then 0.0 else least(1.0, greatest(0.0,
               group by event_id)""",
 )
 def _(t: Tables):
-    roads = parts(t).withColumn("_b", pl.bounds(F.col("line"))).select(
-        F.col("way_id").alias("segment_id"), "line", "_b.*"
-    )
+    box = {name: F.expr(text) for name, text in pl.bounds("line").items()}
+    roads = parts(t).withColumns(box).withColumnRenamed("way_id", "segment_id")
     out = mm.event_nearest_road(t.field_events, roads).select(
         "event_id", "segment_id", "event_match_distance_m", "unmatched_reason"
     )

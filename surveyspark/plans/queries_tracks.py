@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import timeops as to
-from ..functions.geodesy import angle_difference, axis_difference, geodesic_step, project
+from ..functions.geodesy import angle_difference, axis_difference, geodesic_step, with_plane
 from ..operators import events as evt
 from ..operators import intervals as iv
 from ..operators import tracks as tr
@@ -141,7 +141,7 @@ GEO_STEP = step_sql("28.1456", "129.32", "lat", "lon")
     f"select event_id, round({GEO_STEP[0]}, 5) as distance_m, round({GEO_STEP[1]}, 6) as azimuth_deg from point_rows",
 )
 def _(t: Tables):
-    dist, az = geodesic_step(F.lit(28.1456), F.lit(129.32), F.col("lat"), F.col("lon"))
+    dist, az = geodesic_step("28.1456D", "129.32D", "lat", "lon")
     return t.point_rows.select(
         "event_id", F.round(dist, 5).alias("distance_m"), F.round(az, 6).alias("azimuth_deg")
     )
@@ -200,8 +200,8 @@ PROJECT_SQL, PROJECT_STEPS = project_sql("lat", "lon")
 
 @query("project_tm", PROJECT_SQL, *PROJECT_STEPS)
 def _(t: Tables):
-    x, y = project(F.col("lat"), F.col("lon"))
-    return t.point_rows.select("event_id", F.round(x, 4).alias("x_m"), F.round(y, 4).alias("y_m"))
+    placed = with_plane(t.point_rows.drop("x_m", "y_m"))
+    return rounded(placed.select("event_id", "x_m", "y_m"), "x_m", "y_m", digits=4)
 
 
 @query(

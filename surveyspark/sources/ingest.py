@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.geodesy import project
+from ..functions.geodesy import forward_stages, on_vertices
 from ..functions.polyline import bounds
 from ..functions.schema import first_present_column, require_columns
 from ..functions.timeops import local_wall_time, night_key
@@ -63,12 +63,6 @@ def parse_gpx(files: DataFrame) -> DataFrame:
     )
 
 
-def with_plane(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Adds plane coordinates `x_m, y_m`; null where there is no position."""
-    x, y = project(F.col("lat"), F.col("lon"), p)
-    return df.withColumns({"x_m": x, "y_m": y})
-
-
 def read_gps_history(spark: SparkSession, path: str) -> DataFrame:
     return prepare_gps_history(spark.read.option("header", True).csv(path))
 
@@ -96,7 +90,7 @@ def prepare_gps_history(raw: DataFrame, order: tuple[str, ...] = (), *, group_ro
 # --- roads and context -----------------------------------------------------------------
 
 FEATURE_SCHEMA = (
-    "id: string, properties: map<string,string>, geometry: struct<type:string,coordinates:string>"
+    "struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 )
 
 
@@ -109,7 +103,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     features = spark.read.text(path).where(F.col("value").rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*[,}]'))
     if features.isEmpty():
         documents = spark.read.text(path, wholetext=True)
-        nested = F.from_json("value", f"features array<struct<{FEATURE_SCHEMA}>>")
+        nested = F.from_json("value", f"struct<features:array<{FEATURE_SCHEMA}>>")
         return documents.select(F.explode(nested["features"]).alias("f")).select("f.*")
     return parse_features(features)
 
@@ -128,12 +122,10 @@ def _lines_of_geometry() -> Column:
     return F.when(kind == "LineString", single).when(kind == "MultiLineString", several)
 
 
-def _plane_line(coordinates: Column, p: Params) -> Column:
-    def vertex(pair: Column) -> Column:
-        x, y = project(pair[1], pair[0], p)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(coordinates, vertex)
+def _plane_line(coordinates: str, p: Params) -> Column:
+    """Line of plane vertices from an array of (longitude, latitude) pairs."""
+    named = f"transform({coordinates}, c -> named_struct('lat', c[1], 'lon', c[0]))"
+    return F.expr(on_vertices(named, forward_stages(p)))
 
 
 def road_parts(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -151,7 +143,7 @@ def road_parts(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         features.withColumns({"way_id": way, "highway": tags["highway"], "name": tags["name"]})
         .select("way_id", "highway", "name", F.posexplode(_lines_of_geometry()).alias("part_index", "_c"))
         .where(F.size("_c") >= 2)
-        .withColumn("line", _plane_line(F.col("_c"), p))
+        .withColumn("line", _plane_line("_c", p))
         .drop("_c")
     )
 
@@ -183,12 +175,12 @@ def context_features(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     placed = (
         features.withColumn("context_class", F.explode(classes))
         .select("context_class", F.explode(outlines).alias("_c"))
-        .withColumn("line", _plane_line(F.col("_c"), p))
+        .withColumn("line", _plane_line("_c", p))
         .drop("_c")
         .withColumn("feature_id", F.xxhash64("context_class", "line"))
-        .withColumn("_box", bounds(F.col("line")))
+        .withColumns({name: F.expr(text) for name, text in bounds("line").items()})
     )
-    return placed.select("feature_id", "context_class", "line", "_box.*")
+    return placed.select("feature_id", "context_class", "line", "x0", "y0", "x1", "y1")
 
 
 # --- field logs ------------------------------------------------------------------------
@@ -293,17 +285,19 @@ WEATHER_SCHEMA = (
 def parse_weather(documents: DataFrame, station: str = "station", column: str = "content") -> DataFrame:
     """Hourly reports from a document of parallel arrays, one document per station."""
     hourly = documents.select(station, F.from_json(column, WEATHER_SCHEMA)["hourly"].alias("h"))
+    names = {
+        "temperature_c": "temperature_2m",
+        "humidity_pct": "relative_humidity_2m",
+        "dew_point_c": "dew_point_2m",
+        "precip_mm": "precipitation",
+    }
+    # A measure that was not asked for has no array; zipping needs an empty one.
+    series = [
+        F.coalesce(F.col(f"h.{source}"), F.array().cast("array<double>")).alias(name)
+        for name, source in names.items()
+    ]
     rows = hourly.select(
-        station,
-        F.explode(
-            F.arrays_zip(
-                F.col("h.time").alias("time"),
-                F.col("h.temperature_2m").alias("temperature_c"),
-                F.col("h.relative_humidity_2m").alias("humidity_pct"),
-                F.col("h.dew_point_2m").alias("dew_point_c"),
-                F.col("h.precipitation").alias("precip_mm"),
-            )
-        ).alias("r"),
+        station, F.explode(F.arrays_zip(F.col("h.time").alias("time"), *series)).alias("r")
     )
     return rows.select(
         station,

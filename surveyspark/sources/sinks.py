@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geodesy import unproject
+from ..functions.geodesy import inverse_stages, on_vertices
 from ..functions.timeops import night_key
 from ..params import DEFAULTS, Params
 
@@ -36,16 +36,10 @@ def line_geometry(line: Column) -> Column:
     )
 
 
-def plane_line_geometry(line: Column, p: Params = DEFAULTS) -> Column:
+def plane_line_geometry(line: str, p: Params = DEFAULTS) -> Column:
     """Geometry of a line in plane metres, turned back into degrees."""
-
-    def vertex(v: Column) -> Column:
-        lat, lon = unproject(v["x"], v["y"], p)
-        return F.array(lon, lat)
-
-    return F.struct(
-        F.lit("LineString").alias("type"), F.transform(line, vertex).alias("coordinates")
-    )
+    degrees = F.expr(f"transform({on_vertices(line, inverse_stages(p))}, d -> array(d.lon, d.lat))")
+    return F.struct(F.lit("LineString").alias("type"), degrees.alias("coordinates"))
 
 
 def geojson_features(df: DataFrame, geometry: Column, properties: list[str]) -> DataFrame:
