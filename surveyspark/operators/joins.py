@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.polyline import edges, point_to_edge
 from ..functions.timeops import micros
 from ..session import checkpointed
 from .ordered import arrange
@@ -145,42 +146,77 @@ def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("bigint")
 
 
+EDGE = ("ax", "ay", "bx", "by")
+
+
+def edge_rows(shapes: DataFrame, line: str = "line") -> DataFrame:
+    """One row per straight edge (`ax, ay, bx, by`) instead of a line per row.
+
+    Edges are plain columns, so distances stay in generated code, and the box around an edge is
+    tighter than the one around its line. A lone vertex becomes an edge without length.
+    """
+    parts = f"if(size({line}) = 1, array(named_struct('a', {line}[0], 'b', {line}[0])), {edges(line)})"
+    return (
+        shapes.withColumn("_e", F.explode(F.expr(parts)))
+        .withColumns({f"{v}{c}": F.col(f"_e.{v}.{c}") for v in "ab" for c in "xy"})
+        .drop("_e", line)
+    )
+
+
 def near_pairs(
     points: DataFrame,
     shapes: DataFrame,
     *,
     radius: float,
-    distance: Column,
     point_xy: tuple[str, str] = ("x_m", "y_m"),
-    shape_box: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1"),
     keys: list[str] | None = None,
     condition: Column | None = None,
     out: str = "distance_m",
     pairs_per_task: int | None = None,
 ) -> DataFrame:
-    """Pairs of a point and a shape at most `radius` apart, each once.
+    """Pairs of a point and an edge (see `edge_rows`) at most `radius` apart, each once.
 
-    Points keep their one grid cell; only shapes are repeated, into every cell their padded
-    bounding box touches. Column names of the two sides must not collide (keys excepted).
+    Points keep their one grid cell; only edges are repeated, into every cell their padded box
+    touches. Column names of the two sides must not collide (keys excepted).
     """
-    cell = max(float(radius), 1.0) * 2
     keys = keys or []
-    x, y = (F.col(c) for c in point_xy)
-    x0, y0, x1, y1 = (F.col(c) for c in shape_box)
+    cell = max(float(radius), 1.0) * 2
+    x, y = point_xy
+    reach = F.lit(float(radius))
+    low = {c: F.least(f"a{c}", f"b{c}") - reach for c in "xy"}
+    high = {c: F.greatest(f"a{c}", f"b{c}") + reach for c in "xy"}
     # Rows without a position fall out by themselves: a null cell joins nothing.
-    placed = points.withColumns({"_cx": cell_of(x, cell), "_cy": cell_of(y, cell)})
-    covering = (
-        shapes.withColumn("_cx", F.explode(F.sequence(cell_of(x0 - radius, cell), cell_of(x1 + radius, cell))))
-        .withColumn("_cy", F.explode(F.sequence(cell_of(y0 - radius, cell), cell_of(y1 + radius, cell))))
-    )
+    placed = points.withColumns({"_cx": cell_of(F.col(x), cell), "_cy": cell_of(F.col(y), cell)})
+    covering = shapes
+    for c in "xy":
+        span = F.sequence(cell_of(low[c], cell), cell_of(high[c], cell))
+        covering = covering.withColumn(f"_c{c}", F.explode(span))
     placed, covering, on = split_hot_groups(
         placed, covering, [*keys, "_cx", "_cy"], pairs_per_task
     )
-    joined = placed.join(covering, on)
+    # The box test is cheap and spares most distances.
+    inside = F.col(x).between(low["x"], high["x"]) & F.col(y).between(low["y"], high["y"])
+    joined = placed.join(covering, on).where(inside)
     if condition is not None:
         joined = joined.where(condition)
+    distance = F.expr(point_to_edge(x, y, *EDGE))
     dropped = [c for c in on if c not in keys]
-    return joined.drop(*dropped).withColumn(out, distance).where(F.col(out) <= radius)
+    return joined.drop(*dropped).withColumn(out, distance).where(F.col(out) <= radius).drop(*EDGE)
+
+
+def extent(points: DataFrame, point_xy: tuple[str, str], shapes: DataFrame) -> float | None:
+    """Diagonal of the box around both tables; None when either has no position."""
+    x, y = point_xy
+    here = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    there = shapes.agg(
+        *[F.min(F.least(f"a{c}", f"b{c}")) for c in "xy"],
+        *[F.max(F.greatest(f"a{c}", f"b{c}")) for c in "xy"],
+    ).first()
+    if here[0] is None or there[0] is None:
+        return None
+    width = max(here[2], there[2]) - min(here[0], there[0])
+    height = max(here[3], there[3]) - min(here[1], there[1])
+    return (width * width + height * height) ** 0.5
 
 
 def nearest_shape(
@@ -190,48 +226,33 @@ def nearest_shape(
     point_id: list[str],
     shape_id: str,
     start_radius: float,
-    distance: Column,
     point_xy: tuple[str, str] = ("x_m", "y_m"),
-    shape_box: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1"),
     keys: list[str] | None = None,
     growth: float = 4.0,
     pairs_per_task: int | None = None,
 ) -> DataFrame:
     """Nearest shape of every point: `point_id`, `shape_id`, `distance_m`; ties to the least id.
 
-    The radius grows round by round. A hit is final because every shape within the radius was
-    seen; the points left over go on, until all are answered or the radius spans all data.
+    `shapes` are edge rows. The radius grows round by round. A hit is final because every edge
+    within the radius was seen; the points left over go on, until all are answered or the radius
+    spans all data.
     """
     keys = keys or []
-    x, y = point_xy
-    ends = shapes.agg(
-        F.min(shape_box[0]), F.min(shape_box[1]), F.max(shape_box[2]), F.max(shape_box[3])
-    ).first()
-    within = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-    schema_only = points.select(*keys, *point_id).limit(0)
-    if ends[0] is None or within[0] is None:
+    span = extent(points, point_xy, shapes)
+    if span is None:
         kind = shapes.schema[shape_id].dataType
-        return schema_only.select(
-            *schema_only.columns,
+        return points.select(*keys, *point_id).limit(0).select(
+            *keys,
+            *point_id,
             F.lit(None).cast(kind).alias(shape_id),
             F.lit(None).cast("double").alias("distance_m"),
         )
-    width = max(ends[2], within[2]) - min(ends[0], within[0])
-    height = max(ends[3], within[3]) - min(ends[1], within[1])
-    span = (width * width + height * height) ** 0.5
-    remaining = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    remaining = points.where(F.col(point_xy[0]).isNotNull() & F.col(point_xy[1]).isNotNull())
     answered: list[DataFrame] = []
     radius = float(start_radius)
     while True:
         pairs = near_pairs(
-            remaining,
-            shapes,
-            radius=radius,
-            distance=distance,
-            point_xy=point_xy,
-            shape_box=shape_box,
-            keys=keys,
-            pairs_per_task=pairs_per_task,
+            remaining, shapes, radius=radius, point_xy=point_xy, keys=keys, pairs_per_task=pairs_per_task
         )
         best = checkpointed(
             pairs.groupBy(*keys, *point_id)

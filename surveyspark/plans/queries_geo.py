@@ -221,8 +221,7 @@ ALONG = """case when x1 = x0 and y1 = y0 then 0.0 else least(1.0, greatest(0.0,
               group by event_id)""",
 )
 def _(t: Tables):
-    box = {name: F.expr(text) for name, text in pl.bounds("line").items()}
-    roads = parts(t).withColumns(box).withColumnRenamed("way_id", "segment_id")
+    roads = parts(t).withColumnRenamed("way_id", "segment_id")
     out = mm.event_nearest_road(t.field_events, roads).select(
         "event_id", "segment_id", "event_match_distance_m", "unmatched_reason"
     )
@@ -318,10 +317,6 @@ def context_points(t: Tables):
         "feature_id",
         "context_class",
         F.array(here).alias("line"),
-        F.col("cx").alias("x0"),
-        F.col("cy").alias("y0"),
-        F.col("cx").alias("x1"),
-        F.col("cy").alias("y1"),
     )
 
 
