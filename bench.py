@@ -28,7 +28,6 @@ HEADLINE = (
     "asof_weather",
     "slope_relief",
     "segment_lines",
-    "map_match_candidates",
     "map_match",
     "event_nearest_road",
     "nearest_context",

@@ -22,8 +22,8 @@ VIEWS: dict[str, str] = {
 select event_id, concat('s', user_id) as session_file, ts as timestamp,
        28.12  + cast((event_id * 7919)   % 1000 as double) / 10000 as lat,
        129.27 + cast((event_id * 104729) % 1000 as double) / 10000 as lon,
-       cast((event_id * 7919)   % 40009 as double) / 10 as x_m,
-       cast((event_id * 104729) % 40009 as double) / 10 as y_m,
+       cast((event_id * 7919)   % 120011 as double) / 10 as x_m,
+       cast((event_id * 104729) % 120011 as double) / 10 as y_m,
        value as elevation_m,
        case when event_type = 'error' then null else concat('seg_', (event_id * 31) % 3) end as segment_id,
        case when event_type = 'error' then null else cast(event_id % 40 as double) end as match_distance_m
@@ -39,8 +39,8 @@ select event_id, ts as timestamp,
        event_id % 3 + 1 as individual_count,
        case when event_id % 7 = 0 then null else 28.12  + cast((event_id * 7919)   % 1000 as double) / 10000 end as lat,
        case when event_id % 7 = 0 then null else 129.27 + cast((event_id * 104729) % 1000 as double) / 10000 end as lon,
-       case when event_id % 7 = 0 then null else cast((event_id * 7919)   % 40009 as double) / 10 end as x_m,
-       case when event_id % 7 = 0 then null else cast((event_id * 104729) % 40009 as double) / 10 end as y_m,
+       case when event_id % 7 = 0 then null else cast((event_id * 7919)   % 120011 as double) / 10 end as x_m,
+       case when event_id % 7 = 0 then null else cast((event_id * 104729) % 120011 as double) / 10 end as y_m,
        case when value > 60 then ' Yes ' when value > 40 then 'other' else null end as other_capture,
        concat('place_', user_id) as place,
        concat('seg_', (event_id * 31) % 3) as segment_id,
@@ -52,16 +52,16 @@ select 'st0' as station, cast(date_trunc('hour', ts) as timestamp) as timestamp,
 from events where extract(hour from ts) % 3 <> 1 group by date_trunc('hour', ts)""",
     "road_lines": """
 select concat('P', p_partkey) as way_id,
-       cast((p_partkey * 37) % 4001 as double) as x0, cast((p_partkey * 61) % 4001 as double) as y0,
-       cast((p_partkey * 37) % 4001 + (p_size % 5) * 30 as double) as x1,
-       cast((p_partkey * 61) % 4001 + (p_size % 7) * 40 as double) as y1,
+       cast((p_partkey * 37) % 12007 as double) as x0, cast((p_partkey * 61) % 12007 as double) as y0,
+       cast((p_partkey * 37) % 12007 + (p_size % 5) * 30 as double) as x1,
+       cast((p_partkey * 61) % 12007 + (p_size % 7) * 40 as double) as y1,
        p_type as highway
 from part""",
     "context": """
 select s_suppkey as feature_id,
        case s_nationkey % 5 when 0 then 'stream' when 1 then 'coast' when 2 then 'forest'
             when 3 then 'farmland' else 'residential' end as context_class,
-       cast((s_suppkey * 97) % 4001 as double) as cx, cast((s_suppkey * 193) % 4001 as double) as cy
+       cast((s_suppkey * 97) % 12007 as double) as cx, cast((s_suppkey * 193) % 12007 as double) as cy
 from supplier""",
     "route_intervals": f"""
 select event_id as pair_no, cast({_NIGHT_DAY} as string) as operational_date_0700,

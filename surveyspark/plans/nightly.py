@@ -11,7 +11,7 @@ from ..operators import mapmatch as mm
 from ..operators import roads as rd
 from ..operators import tracks as tr
 from ..operators import weather as we
-from ..operators.recovery import recover_roads
+from ..operators.recovery import RecoveryRules, recover_roads
 from ..params import DEFAULTS, Params
 from ..session import checkpointed
 
@@ -47,6 +47,7 @@ def learning_table(
     context: DataFrame | None = None,
     context_classes: tuple[str, ...] = (),
     p: Params = DEFAULTS,
+    rules: RecoveryRules = RecoveryRules(),
 ) -> dict[str, DataFrame]:
     """All tables of one run: segments, matched points, visits, events and learning rows.
 
@@ -56,7 +57,7 @@ def learning_table(
     tracked = tr.track_dynamics(points)
     first = checkpointed(mm.map_match(tracked, base, p))
     noted = mm.event_nearest_road(events, base, p=p)
-    supplemental = recover_roads(first, noted, p).segments
+    supplemental = recover_roads(first, noted, p, rules).segments
     segments = checkpointed(rd.combine_roads(base, supplemental))
     matched = checkpointed(tr.session_gate(mm.map_match(tracked, segments, p), p))
     visits = tr.segment_visits(matched)

@@ -365,5 +365,7 @@ def _(t: Tables):
         context_points(t),
         ("stream", "forest"),
         p,
+        # points are kilometres apart here, so only a very long stretch could pass for a road
+        RecoveryRules(min_points=60),
     )
     return tables["learning"]

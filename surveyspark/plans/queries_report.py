@@ -12,22 +12,22 @@ from ..operators import report as rp
 from ..sources import sinks
 from .registry import Tables, query, rounded
 
-# Every located event counts as one passage of its 100 m square.
+# Every located event counts as one passage of its kilometre square.
 EXPOSURES_SQL = """
-select concat('cell_', cast(floor(x_m / 100) as bigint), '_', cast(floor(y_m / 100) as bigint)) as segment_id, timestamp as entered_at,
+select concat('cell_', cast(floor(x_m / 1000) as bigint), '_', cast(floor(y_m / 1000) as bigint)) as segment_id, timestamp as entered_at,
        case when event_type = 'capture' and species = 'ハブ' then 1 else 0 end as target_capture,
        case when event_type = 'capture' and species = 'ハブ' then individual_count else 0 end as target_individuals,
        case when individual_count = 1 then null else x_m end as elevation_m, other_capture as rain_1h_mm
 from field_events where x_m is not null"""
 CELLS_SQL = """
-select distinct concat('cell_', cast(floor(x0 / 100) as bigint), '_', cast(floor(y0 / 100) as bigint)) as segment_id from road_lines"""
+select distinct concat('cell_', cast(floor(x0 / 1000) as bigint), '_', cast(floor(y0 / 1000) as bigint)) as segment_id from road_lines"""
 STATS_SQL = """
 select segment_id, count(*) as visits, cast(sum(target_capture) as bigint) as captures,
        cast(sum(target_individuals) as bigint) as individuals from exposures group by 1"""
 
 
 def _cell(x: str, y: str):
-    square = [F.floor(F.col(c) / 100).cast("bigint").cast("string") for c in (x, y)]
+    square = [F.floor(F.col(c) / 1000).cast("bigint").cast("string") for c in (x, y)]
     return F.concat(F.lit("cell_"), square[0], F.lit("_"), square[1]).alias("segment_id")
 
 
