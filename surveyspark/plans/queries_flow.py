@@ -355,7 +355,7 @@ def _(t: Tables):
 
 @query("learning_table")
 def _(t: Tables):
-    p = replace(MODEL, min_match_ratio=0.1, bio_windows_min=(360,), bio_distances_m=(500.0, 1000.0))
+    p = replace(MODEL, min_match_ratio=0.02, bio_windows_min=(360,), bio_distances_m=(500.0, 1000.0))
     events = t.field_events.drop("segment_id")
     tables = nightly.learning_table(
         t.points.drop("segment_id", "match_distance_m"),
