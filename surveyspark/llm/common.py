@@ -114,3 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
 def hex64(column: Column) -> Column:
     """A long as 16 lower-case hex digits, read as unsigned."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages: it does when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, decontaminate, feistel_pii, quality_mcd, simhash_trie
+from . import bpe_duckdb, decontaminate, feistel_pii, quality_mcd, simhash_trie, substring_cover
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op10_substring_cover")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_cover.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
