@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_duckdb, decontaminate, feistel_pii, quality_mcd, simhash_trie, substring_cover
+from . import (
+    bpe_duckdb,
+    decontaminate,
+    feistel_pii,
+    html_blocks,
+    quality_mcd,
+    simhash_trie,
+    substring_cover,
+    toxicity_weak,
+    unigram_trie,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +70,18 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_cover")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_cover.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op7_toxicity_weak")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_weak.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_html_blocks")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_unigram_trie")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_trie.token_counts(table(spark, sf_dir, "documents"))
