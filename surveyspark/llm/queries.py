@@ -15,6 +15,7 @@ from . import (
     quality_mcd,
     simhash_trie,
     substring_cover,
+    suffix_groups,
     toxicity_weak,
     unigram_trie,
 )
@@ -85,3 +86,8 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_unigram_trie")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_trie.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_groups")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
