@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -118,4 +119,5 @@ def hex64(column: Column) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished stages: it does when the driver's JVM collects garbage."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()

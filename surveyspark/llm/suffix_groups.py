@@ -4,7 +4,7 @@ Strings of `length` bytes that start at two places are found in three steps.
 
 1. Anchors: every window of bytes has its least-hashed `GRAM` bytes as an anchor, so equal strings
    share one. Anchors found once anywhere are done with.
-2. Around every anchor found twice lies a snippet, all bytes of strings that hold it. Snippets of one
+2. Around every anchor found twice lies a snippet, the bytes of strings it stands for. Snippets of one
    anchor that are equal settle each other by hash. What is left are anchors with different snippets,
    the edges of copies; one snippet of each kind is fetched.
 3. Snippets of an anchor meet in one task. They are cut into symbols of eight bytes from the anchor,
@@ -226,22 +226,31 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the anchors of a text."""
+def anchors_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the anchors of a text, and the first and last string each stands for."""
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, none
     hashes = window_hashes(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), GRAM)
     width = length - GRAM + 1
     least = _sliding(hashes, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     most = _sliding(np.concatenate((edge, least, edge)), width, np.maximum)
     at = np.flatnonzero(most == hashes)
-    return hashes[at], at
-
-
-def _snippet(data: bytes, p: int, length: int) -> tuple[int, bytes]:
-    begin = max(0, p + GRAM - length)
-    return begin, data[begin : p + length]
+    # runs of strings with one least hash; an anchor's strings are the part of its run in reach of it
+    head = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    tail = np.concatenate((head[1:] - 1, [len(least) - 1]))
+    first, last = np.full(len(at), len(data)), np.full(len(at), -1)
+    run = np.searchsorted(head, np.maximum(0, at - width + 1), "right") - 1
+    todo = np.arange(len(at))
+    while len(todo):
+        r, p = run[todo], at[todo]
+        mine = least[head[r]] == hashes[p]
+        first[todo] = np.where(mine, np.minimum(first[todo], np.maximum(head[r], p - width + 1)), first[todo])
+        last[todo] = np.where(mine, np.maximum(last[todo], np.minimum(tail[r], p)), last[todo])
+        run[todo] += 1
+        todo = todo[(run[todo] < len(head)) & (head[np.minimum(run[todo], len(head) - 1)] <= p)]
+    return hashes[at], at, first, last
 
 
 def _anchor_rows(length: int):
@@ -250,9 +259,8 @@ def _anchor_rows(length: int):
             for batch in slices(whole, 2, SLICE):
                 cell, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 found = [anchors_of(t.encode(), length) for t in batch.column(2).to_pylist()]
-                at = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-                keys = np.concatenate([k for k, _ in found])
-                pos = np.concatenate([p for _, p in found])
+                at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                keys, pos = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                 yield places(keys, np.zeros(len(keys), np.int32), cell[at], row[at], pos)
 
     return run
@@ -262,7 +270,7 @@ def _texts(table: pa.Table) -> dict[int, bytes]:
     return {r: t.encode() for r, t in zip(table.column("row").to_pylist(), table.column("text").to_pylist())}
 
 
-SNIPPETS = "key long, kind long, known boolean, cell long, row long, pos int, size int"
+SNIPPETS = "key long, kind long, known boolean, cell long, row long, pos int, begin int, size int"
 
 
 def _kinds(length: int):
@@ -270,34 +278,41 @@ def _kinds(length: int):
 
     def one(texts: pa.Table, found: pa.Table) -> pa.Table:
         data = _texts(texts) if found.num_rows else {}
-        columns = [found.column(c).to_pylist() for c in ("cell", "row", "pos")]
+        places_of: dict[int, list[int]] = {}
+        for r, p in zip(found.column("row").to_pylist(), found.column("pos").to_pylist()):
+            places_of.setdefault(r, []).append(p)
+        c = found.column("cell")[0].as_py() if found.num_rows else 0
         out, seen = [], {}
-        for c, r, p in zip(*columns):
-            begin, snippet = _snippet(data[r], p, length)
-            key = xxhash.xxh64_intdigest(data[r][p : p + GRAM], 7)
-            kind = xxhash.xxh64_intdigest(snippet, 1 + p - begin)  # the anchor stands at the same place in equal ones
-            if (key, kind) in seen:
-                out[seen[key, kind]][2] = True
-                out.append([None, None, True, c, r, p, len(snippet)])
-            else:
-                seen[key, kind] = len(out)
-                out.append([key - 2**63, kind - 2**63, False, c, r, p, len(snippet)])
+        for r, wanted in places_of.items():
+            text = data[r]
+            _, at, first, last = anchors_of(text, length)
+            k = np.searchsorted(at, np.array(sorted(wanted)))
+            for p, begin, stop in zip(at[k].tolist(), first[k].tolist(), (last[k] + length).tolist()):
+                key = xxhash.xxh64_intdigest(text[p : p + GRAM], 7)
+                # the anchor stands at the same place in equal snippets
+                kind = xxhash.xxh64_intdigest(text[begin:stop], 1 + p - begin)
+                row = [key - 2**63, kind - 2**63, False, c, r, p, begin, stop - begin]
+                if (key, kind) in seen:
+                    out[seen[key, kind]][2] = True
+                    row[:3] = None, None, True
+                else:
+                    seen[key, kind] = len(out)
+                out.append(row)
         names = [s.split(" ")[0] for s in SNIPPETS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate(zip(names, types))})
 
     return one
 
 
-def _fetch(length: int):
+def _fetch():
     """The bytes of chosen snippets."""
 
     def one(texts: pa.Table, chosen: pa.Table) -> pa.Table:
         data = _texts(texts) if chosen.num_rows else {}
-        got = [_snippet(data[r], p, length) for r, p in zip(*(chosen.column(c).to_pylist() for c in ("row", "pos")))]
-        columns = {n: chosen.column(n) for n in ("key", "cell", "row", "pos")}
-        columns["begin"] = pa.array([g[0] for g in got], pa.int32())
-        columns["data"] = pa.array([g[1] for g in got], pa.binary())
+        got = [data[r][b : b + n] for r, b, n in zip(*(chosen.column(c).to_pylist() for c in ("row", "begin", "size")))]
+        columns = {n: chosen.column(n) for n in ("key", "cell", "row", "pos", "begin")}
+        columns["data"] = pa.array(got, pa.binary())
         return pa.table(columns)
 
     return one
@@ -338,9 +353,8 @@ def _string_rows(length: int):
         data = _texts(texts) if chosen.num_rows else {}
         todo: dict[int, set[int]] = {}
         cell = chosen.column("cell").to_pylist()[0] if chosen.num_rows else 0
-        for r, p in zip(*(chosen.column(c).to_pylist() for c in ("row", "pos"))):
-            begin, snippet = _snippet(data[r], p, length)
-            todo.setdefault(r, set()).update(range(begin, begin + len(snippet) - length + 1))
+        for r, begin, size in zip(*(chosen.column(c).to_pylist() for c in ("row", "begin", "size"))):
+            todo.setdefault(r, set()).update(range(begin, begin + size - length + 1))
         for r, starts in todo.items():
             at = np.array(sorted(starts), np.int64)
             values = np.frombuffer(data[r], np.uint8).astype(np.uint64) + np.uint64(1)
@@ -412,19 +426,21 @@ def without_repeats(
     kinds = kinds.withColumns({"least": F.min("kind").over(of_key), "most": F.max("kind").over(of_key)})
     nth = F.row_number().over(of_kind.orderBy("row", "pos"))
     kinds = kinds.withColumns({"n": F.count(F.lit(1)).over(of_kind), "nth": nth})
-    kinds = kinds.withColumn("classes", F.sum(F.when(F.col("nth") == 1, 1)).over(of_key))
+    open_kind = (F.col("n") == 1) & ~F.col("known")
+    kinds = kinds.withColumns(
+        {"classes": F.sum(F.when(F.col("nth") == 1, 1)).over(of_key), "open": F.max(open_kind).over(of_key)}
+    )
     kinds = written(kinds, "kinds")
     release(spark)
-    begin = F.greatest(F.col("pos") + GRAM - length, F.lit(0))
-    settled = kinds.where(f"(n > 1 or known) and size >= {length}").select(
-        "cell", "row", begin.alias("start"), (begin + F.col("size")).cast("int").alias("stop")
+    settled = kinds.where("n > 1 or known").select(
+        "cell", "row", F.col("begin").alias("start"), (F.col("begin") + F.col("size")).cast("int").alias("stop")
     )
-    mixed = kinds.where(f"least <> most and nth = 1 and size >= {length}")
-    few = mixed.where(F.col("classes") <= class_snippets).select("cell", "row", "pos", "key")
-    snippets = meet(texts, few, _fetch(length), "key long, cell long, row long, pos int, begin int, data binary")
+    mixed = kinds.where("open and least <> most and nth = 1")
+    few = mixed.where(F.col("classes") <= class_snippets).select("cell", "row", "pos", "key", "begin", "size")
+    snippets = meet(texts, few, _fetch(), "key long, cell long, row long, pos int, begin int, data binary")
     ordered = snippets.repartition("key").sortWithinPartitions("key").mapInArrow(_order(length), SPANS)
     gone = settled.unionByName(ordered)
-    many = kinds.where(F.col("classes") > class_snippets).select("cell", "row", "pos")
+    many = kinds.where(F.col("classes") > class_snippets).select("cell", "row", "begin", "size")
     if not many.isEmpty():
         twice = found_twice(meet(texts, many, _string_rows(length), PLACES))
         gone = gone.unionByName(
