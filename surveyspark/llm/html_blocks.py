@@ -56,6 +56,8 @@ EXAMPLES = [
     (9, 1.0, 80, 0.0, 70, 0.0, 0, 1, 1, 1), (12, 0.6, 30, 0.1, 40, 0.0, 0, 1, 1, 1), (2, 0.0, 2, 1.0, 30, 0.0, 0, 1, 1, 1),
     (1, 0.0, 1, 0.0, 40, 0.0, 0, 1, 1, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1), (5, 0.9, 1, 1.0, 2, 1.0, 0, 1, 1, 1),
     (2, 1.0, 6, 0.0, 1, 1.0, 0, 1, 1, 1), (9, 0.0, 3, 1.0, 1, 0.0, 0, 1, 1, 1), (14, 1.0, 2, 0.5, 3, 1.0, 0, 1, 1, 1),
+    (40, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0), (80, 0.0, 5, 0.0, 2, 1.0, 1, 0, 0, 0), (35, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (60, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1, 0), (35, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0), (90, 0.1, 0, 0.0, 4, 0.0, 1, 0, 0, 0),
     (4, 0.0, 1, 1.0, 3, 1.0, 0, 0, 1, 0), (12, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0), (30, 0.0, 50, 0.0, 5, 1.0, 0, 0, 1, 0),
     (100, 0.0, 50, 0.0, 5, 0.0, 0, 0, 1, 0), (5, 1.0, 5, 1.0, 5, 1.0, 0, 0, 1, 0), (60, 0.9, 5, 0.0, 5, 0.0, 0, 0, 1, 0),
     (45, 0.0, 8, 0.0, 50, 0.0, 0, 0, 0, 1), (120, 0.1, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (22, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 1),
