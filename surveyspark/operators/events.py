@@ -112,7 +112,8 @@ def score_frozen_windows(
     """Frozen nightly forecasts against what was captured.
 
     Windows are given in minutes after the start of the night and are inclusive. The forecast
-    range is the point plus or minus `spread`. A night without captures has nothing to score.
+    range is the point plus or minus `spread`. A night without captures keeps its forecast with the
+    status `no-holdout-events` and nothing scored.
     """
     captures = capture_filter(events, species).select(
         night_date(F.col("timestamp")).alias("operational_date"),
@@ -133,7 +134,7 @@ def score_frozen_windows(
         F.count_if(inside(main)).alias("main_events"),
         F.count_if(inside(secondary)).alias("secondary_events"),
     )
-    scored = snapshots.join(nightly, "operational_date")
+    scored = snapshots.join(nightly, "operational_date", "left")
     point = F.col("point_prediction")
     return scored.select(
         F.col("operational_date").cast("string").alias("operational_date_0700"),
@@ -146,6 +147,7 @@ def score_frozen_windows(
         (F.col("secondary_events") > 0).alias("secondary_hit"),
         F.col("actual_individuals").between(point - spread, point + spread).alias("range_hit"),
         (F.col("actual_individuals") - point).alias("point_error"),
+        F.when(F.col("actual_capture_events").isNull(), "no-holdout-events").otherwise("scored").alias("status"),
     )
 
 

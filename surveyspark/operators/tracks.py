@@ -159,24 +159,14 @@ def track_qc(points: DataFrame, *, gap_limit_s: float = 300.0, group_rows=None)
     return qc.withColumn("duration_h", hours)
 
 
-def route_lines(points: DataFrame, part_points: int = 10_000) -> DataFrame:
-    """Ordered coordinates per session, for sessions with at least two points.
+def route_lines(points: DataFrame) -> DataFrame:
+    """Ordered coordinates per session, one row each, for sessions with at least two points.
 
-    A session longer than `part_points` comes as consecutive parts that share their joint, so
-    no row grows without bound; shorter sessions are one part, number 0.
+    A line is one record of the layer it is written to, so its points meet in one row.
     """
-    part = F.floor(F.col("seq") / part_points)
-    shared = (F.col("seq") % part_points == 0) & (F.col("seq") > 0)
-    laid = points.select(
-        SESSION,
-        F.explode(
-            F.when(shared, F.array(part, part - 1)).otherwise(F.array(part))
-        ).alias("part"),
-        F.struct("seq", "lon", "lat").alias("vertex"),
-    )
-    lines = laid.groupBy(SESSION, "part").agg(F.array_sort(F.collect_list("vertex")).alias("v"))
+    vertex = F.struct("seq", "lon", "lat").alias("vertex")
+    lines = points.groupBy(SESSION).agg(F.array_sort(F.collect_list(vertex)).alias("v"))
     return lines.where(F.size("v") > 1).select(
         SESSION,
-        "part",
         F.transform("v", lambda v: F.struct(v["lon"].alias("x"), v["lat"].alias("y"))).alias("line"),
     )

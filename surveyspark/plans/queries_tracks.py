@@ -301,12 +301,17 @@ def _(t: Tables):
               count(*) filter (where m between 1115 and 1175) as secondary_events,
               count(*) filter (where m between 1115 and 1175) > 0 as secondary_hit,
               sum(individual_count) between point_prediction - 1 and point_prediction + 1 as range_hit,
-              cast(sum(individual_count) - point_prediction as bigint) as point_error
+              cast(sum(individual_count) - point_prediction as bigint) as point_error, 'scored' as status
        from (select f.*, e.individual_count,
                     date_diff('microsecond', cast(f.operational_date as timestamp) + interval '7' hour, e.timestamp) / 60e6 as m
              from forecast_snapshots f join field_events e
                on f.operational_date = cast(e.timestamp - interval '7' hour as date)
-             where e.species = 'ハブ' and e.event_type in ('捕獲', 'capture')) group by operational_date, point_prediction""",
+             where e.species = 'ハブ' and e.event_type in ('捕獲', 'capture')) group by operational_date, point_prediction
+       union all
+       select cast(operational_date as string), point_prediction, null, null, null, null, null, null, null, null, 'no-holdout-events'
+       from forecast_snapshots f where not exists (
+         select 1 from field_events e where f.operational_date = cast(e.timestamp - interval '7' hour as date)
+           and e.species = 'ハブ' and e.event_type in ('捕獲', 'capture'))""",
 )
 def _(t: Tables):
     return evt.score_frozen_windows(
@@ -381,13 +386,12 @@ def _(t: Tables):
 
 @query(
     "route_lines",
-    """select session_file, cast(0 as bigint) as part, count(*) as vertices, arg_min(lon, seq) as first_lon, arg_max(lat, seq) as last_lat
+    """select session_file, count(*) as vertices, arg_min(lon, seq) as first_lon, arg_max(lat, seq) as last_lat
        from points group by 1 having count(*) > 1""",
 )
 def _(t: Tables):
     return tr.route_lines(t.points).select(
         "session_file",
-        "part",
         F.size("line").cast("bigint").alias("vertices"),
         F.col("line")[0]["x"].alias("first_lon"),
         F.element_at("line", -1)["y"].alias("last_lat"),

@@ -201,6 +201,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _content() -> Column:
+    """A document's text without a byte-order mark, which would hide its first line's date."""
+    return F.regexp_replace("content", "^\ufeff", "")
+
+
 def _moment(line: Column) -> Column:
     part = [F.regexp_extract(line, DATE_LINE, i) for i in range(1, 7)]
     numbers = [F.coalesce(x.try_cast("int"), F.lit(0)) for x in part]
@@ -214,7 +219,7 @@ def parse_field_log(documents: DataFrame) -> DataFrame:
     event type become rows; the session start is that of the last start block before them.
     """
     starts = r"(?m)(?=^[ \t　]*" + DATE_LINE.replace(r"\s+", r"[ \t　]+") + ")"
-    blocks = documents.select("file", F.posexplode(F.split("content", starts)).alias("block", "raw")).where(
+    blocks = documents.select("file", F.posexplode(F.split(_content(), starts)).alias("block", "raw")).where(
         F.regexp_extract("raw", r"(?U)^\s*" + DATE_LINE, 1) != ""
     )
     lines = tx.lines_of(F.col("raw"))
@@ -236,7 +241,7 @@ def parse_session_markers(documents: DataFrame) -> DataFrame:
     lines = documents.select(
         "file",
         F.sha2(F.col("content").cast("binary"), 256).alias("source_hash"),
-        F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("_line", "_raw"),
+        F.posexplode(F.split(_content(), r"\r\n|\r|\n")).alias("_line", "_raw"),
     ).withColumn("line", tx.strip(F.col("_raw")))
     dated = F.regexp_extract("line", r"^(20[0-9]{2}/[0-9]{1,2}/[0-9]{1,2})\s+([0-9]{1,2}:[0-9]{2})$", 0) != ""
     upto = Window.partitionBy("file").orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)

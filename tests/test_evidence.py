@@ -213,14 +213,16 @@ def test_tie_collapse(spark):
 
 
 def test_frozen_windows(spark):
-    snap = spark.createDataFrame([("2026-08-28", 3)], "d string, point_prediction bigint").select(
+    snap = spark.createDataFrame([("2026-08-28", 3), ("2026-08-29", 2)], "d string, point_prediction bigint").select(
         F.col("d").cast("date").alias("operational_date"), "point_prediction"
     )
     times = ["2026-08-28 22:06", "2026-08-28 22:45", "2026-08-29 01:22", "2026-08-29 02:26"]
     events = spark.createDataFrame(
         [(at(t), "ハブ", "捕獲", 1) for t in times], "timestamp timestamp_ntz, species string, event_type string, individual_count int"
     )
-    r = evt.score_frozen_windows(snap, events, main=(1040, 1100), secondary=(1115, 1175)).first()
+    scored = evt.score_frozen_windows(snap, events, main=(1040, 1100), secondary=(1115, 1175))
+    r, quiet = scored.orderBy("operational_date_0700").collect()
+    assert (quiet.point_prediction, quiet.main_events, quiet.status) == (2, None, "no-holdout-events")
     assert (r.main_events, r.main_hit, r.secondary_events, r.secondary_hit) == (0, False, 1, True)
     assert (r.actual_individuals, r.range_hit, r.point_error) == (4, True, 1)
 

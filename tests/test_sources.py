@@ -161,3 +161,12 @@ def test_layers_and_summaries(spark, tmp_path):
     assert (again[1].x, again[1].y) == pytest.approx((10.0, -500010.0), abs=1e-6)
     sinks.write_summary(spark.createDataFrame([(3,)], "n int"), str(tmp_path / "sum"))
     assert spark.read.json(str(tmp_path / "sum")).first().n == 3
+
+
+def test_byte_order_mark_does_not_hide_the_first_marker(spark):
+    from surveyspark.sources import ingest
+
+    text = "\ufeff2026/08/28 21:00\nエリア探索開始\n2026/08/28 23:00\nエリア探索終了\n"
+    documents = spark.createDataFrame([("log.txt", text)], "file string, content string")
+    kinds = [r.evidence_type for r in ingest.parse_session_markers(documents).orderBy("source_timestamp").collect()]
+    assert kinds == ["SEARCH_START", "SEARCH_END"]
