@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -119,5 +120,7 @@ def hex64(column: Column) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished stages: it does when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second the shuffles they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
