@@ -7,6 +7,8 @@ already in a table.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from ..params import DEFAULTS, Params
 
 # --- tracks ----------------------------------------------------------------------------
 
+#: A time of day with its zone; a date alone ends in digits like a zone and has none.
+ZONE = r":[0-9.]+\s*(Z|[+-][0-9]{2}:?[0-9]{2})\s*$"
+
 GPX_SCHEMA = (
     "trk array<struct<trkseg:array<struct<trkpt:array<struct<"
     "_lat:double,_lon:double,ele:double,time:string>>>>>>"
@@ -51,7 +56,7 @@ def parse_gpx(files: DataFrame) -> DataFrame:
     )
     timed = F.filter(flat, lambda point: point["time"].isNotNull() & (F.trim(point["time"]) != ""))
     points = files.select("session_file", F.posexplode(timed).alias("seq", "p"))
-    zoned = F.col("p.time").rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})\s*$")
+    zoned = F.col("p.time").rlike(ZONE)
     instant = F.try_to_timestamp(F.when(zoned, F.trim("p.time")).otherwise(F.concat(F.trim("p.time"), F.lit("Z"))))
     return points.select(
         "session_file",
@@ -68,11 +73,18 @@ def read_gps_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prepare_gps_history(raw: DataFrame, order: tuple[str, ...] = (), *, group_rows=None) -> DataFrame:
-    """Location history as track points: bad rows dropped, one session per night, `seq` in time."""
+    """Location history as track points: bad rows dropped, one session per night, `seq` in time.
+
+    Text times with a zone become local wall time; without one they are local already.
+    """
     require_columns(raw, ["timestamp", "lat", "lon"], "location history")
+    moment = F.col("timestamp").try_cast("timestamp_ntz")
+    if raw.schema["timestamp"].dataType.typeName() == "string":
+        zoned = F.col("timestamp").rlike(ZONE)
+        moment = F.when(zoned, local_wall_time(F.try_to_timestamp(F.trim("timestamp")))).otherwise(moment)
     typed = raw.withColumns(
         {
-            "timestamp": F.col("timestamp").try_cast("timestamp_ntz"),
+            "timestamp": moment,
             "lat": F.col("lat").try_cast("double"),
             "lon": F.col("lon").try_cast("double"),
         }
@@ -97,21 +109,41 @@ FEATURE_SCHEMA = (
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON features, one row each, from a collection or from one feature per line.
 
-    Files that keep every feature on its own line, as map exports do, are read line by line and
-    split across tasks; a collection without line breaks is one document of one task.
+    The layout is told per file. Files that keep every feature on its own line, as map exports do,
+    are read line by line and split across tasks; any other file is one document of one task. A
+    document that is neither a collection nor a feature is an error, so no feature is lost.
     """
-    features = spark.read.text(path).where(F.col("value").rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*[,}]'))
-    if features.isEmpty():
-        documents = spark.read.text(path, wholetext=True)
-        nested = F.from_json("value", f"struct<features:array<{FEATURE_SCHEMA}>>")
-        return documents.select(F.explode(nested["features"]).alias("f")).select("f.*")
-    return parse_features(features)
+    lines = spark.read.text(path).where(F.col("value").contains('"Feature"'))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
+    alone = (F.regexp_count("value", F.lit('"Feature"')) == 1) & F.coalesce(_is_feature("value"), F.lit(False))
+    # the driver lists these files anyway to plan the scan
+    whole = [r["file"] for r in lines.where(~alone).select("file").distinct().toLocalIterator()]
+    if not whole:
+        return parse_features(lines)
+    documents = spark.read.text([unquote(f) for f in whole], wholetext=True)
+    shape = f"struct<features:array<{FEATURE_SCHEMA}>>"
+    features = F.coalesce(
+        F.from_json(_json_body("value"), shape)["features"],
+        F.when(_is_feature("value"), F.array(F.from_json(_json_body("value"), FEATURE_SCHEMA))),
+        F.raise_error(F.concat(F.lit("neither a feature nor a collection: "), F.col("_metadata.file_path"))),
+    )
+    collected = documents.select(F.explode(features).alias("f")).select("f.*")
+    return parse_features(lines.where(~F.col("file").isin(whole))).unionByName(collected)
+
+
+def _json_body(column: str) -> Column:
+    """A line or document without a byte-order mark, a record mark, or a trailing comma."""
+    return F.regexp_replace(F.regexp_replace(F.col(column), "^[\ufeff\x1e\\s]+", ""), r",\s*$", "")
+
+
+def _is_feature(column: str) -> Column:
+    parsed = F.try_parse_json(_json_body(column))
+    return F.try_variant_get(parsed, "$.type", "string") == "Feature"
 
 
 def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
     """One GeoJSON feature per row of text; a trailing comma is ignored."""
-    body = F.regexp_replace(F.col(column), r",\s*$", "")
-    return lines.select(F.from_json(body, FEATURE_SCHEMA).alias("f")).select("f.*")
+    return lines.select(F.from_json(_json_body(column), FEATURE_SCHEMA).alias("f")).select("f.*")
 
 
 def _lines_of_geometry() -> Column:

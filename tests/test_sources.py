@@ -170,3 +170,23 @@ def test_byte_order_mark_does_not_hide_the_first_marker(spark):
     documents = spark.createDataFrame([("log.txt", text)], "file string, content string")
     kinds = [r.evidence_type for r in ingest.parse_session_markers(documents).orderBy("source_timestamp").collect()]
     assert kinds == ["SEARCH_START", "SEARCH_END"]
+
+
+def test_features_of_mixed_layouts_and_any_key_order(spark, tmp_path):
+    points = [feature("Point", [129.3, 28.1], n=str(i)) for i in range(9)]
+    turned = [dict(reversed(f.items())) for f in points[:4]]
+    (tmp_path / "a.geojson").write_text("﻿" + "\n".join(json.dumps(f) for f in turned))
+    (tmp_path / "b c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": points[4:6]}))
+    # one feature on a line of its own, one over several lines, one of which the text names another
+    named = feature("Point", [129.3, 28.1], n="8", note="Feature")
+    body = ",\n".join([json.dumps(points[6]), json.dumps(points[7], indent=1), json.dumps(named)])
+    (tmp_path / "d.geojson").write_text('{"type": "FeatureCollection", "features": [\n' + body + "\n]}")
+    out = ingest.read_features(spark, str(tmp_path))
+    assert sorted(r.properties["n"] for r in out.collect()) == [str(i) for i in range(9)]
+
+
+def test_history_times_with_and_without_a_zone(spark):
+    times = ["2026-08-01T13:00:00Z", "2026-08-01T22:00:00+09:00", "2026-08-01 22:00:00", "2026-08-01", "no time"]
+    raw = spark.createDataFrame([(t, "28.1", "129.3") for t in times], "timestamp string, lat string, lon string")
+    out = ingest.prepare_gps_history(raw)
+    assert sorted(r.timestamp for r in out.collect()) == [at("2026-08-01 00:00:00")] + [at("2026-08-01 22:00:00")] * 3
