@@ -20,8 +20,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,47 +141,63 @@ def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
 
 
 def _moments() -> list[Column]:
-    sums = [F.count("*").alias("n")] + [F.sum(a).alias(f"s_{a}") for a in AXES]
-    return sums + [F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for i, a in enumerate(AXES) for b in AXES[: i + 1]]
+    sums = ["count(*) as n"] + [f"sum({a}) as s_{a}" for a in AXES]
+    sums += [f"sum({a} * {b}) as s_{a}_{b}" for i, a in enumerate(AXES) for b in AXES[: i + 1]]
+    return [F.expr(s) for s in sums]
 
 
 def _estimate(sums: DataFrame, *keys: str) -> DataFrame:
     """Means `m_i`, the inverse factor `l_i_j` of the scatter, and its log determinant, from sums."""
     p = len(AXES)
-    mean = [F.col(f"s_{a}") / F.col("n") for a in AXES]
-    out = sums.select(*keys, "n", *[mean[i].alias(f"m_{i}") for i in range(p)], *[c for c in sums.columns if c.count("_v_") > 1 or c.count("s_v") > 0])
+    total = lambda terms: " + ".join(["0D", *terms])
+    # as SQL text: hundreds of small expressions cost the driver seconds when built one call at a time
     cov = {
-        (i, j): F.greatest(F.col(f"s_{AXES[i]}_{AXES[j]}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}"), F.lit(0.0)) + FLOORS[i] ** 2
-        if i == j
-        else F.col(f"s_{AXES[i]}_{AXES[j]}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-        for i in range(p)
-        for j in range(i + 1)
+        (i, j): f"s_{AXES[i]}_{AXES[j]} / n - s_{AXES[i]} / n * s_{AXES[j]} / n" for i in range(p) for j in range(i + 1)
     }
-    out = out.withColumns({f"c_{i}_{j}": c for (i, j), c in cov.items()})
+    out = sums.selectExpr(
+        *keys,
+        *[f"s_{a} / n as m_{i}" for i, a in enumerate(AXES)],
+        *[
+            f"greatest({c}, 0D) + {FLOORS[i] ** 2}D as c_{i}_{j}" if i == j else f"{c} as c_{i}_{j}"
+            for (i, j), c in cov.items()
+        ],
+    )
     for j in range(p):  # Cholesky factor, column by column; the floors keep it positive
-        rest = F.col(f"c_{j}_{j}") - sum((F.col(f"g_{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"g_{j}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2 / 4))))
-        below = {
-            f"g_{i}_{j}": (F.col(f"c_{i}_{j}") - sum((F.col(f"g_{i}_{k}") * F.col(f"g_{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"g_{j}_{j}")
+        rest = f"c_{j}_{j} - ({total(f'g_{j}_{k} * g_{j}_{k}' for k in range(j))})"
+        out = out.selectExpr("*", f"sqrt(greatest({rest}, {FLOORS[j] ** 2 / 4}D)) as g_{j}_{j}")
+        below = [
+            f"(c_{i}_{j} - ({total(f'g_{i}_{k} * g_{j}_{k}' for k in range(j))})) / g_{j}_{j} as g_{i}_{j}"
             for i in range(j + 1, p)
-        }
-        out = out.withColumns(below) if below else out
-    for j in range(p):  # its inverse
-        out = out.withColumn(f"l_{j}_{j}", 1 / F.col(f"g_{j}_{j}"))
-        for i in range(j + 1, p):
-            done = sum((F.col(f"g_{i}_{k}") * F.col(f"l_{k}_{j}") for k in range(j, i)), F.lit(0.0))
-            out = out.withColumn(f"l_{i}_{j}", -done / F.col(f"g_{i}_{i}"))
-    logdet = 2 * sum((F.log(f"g_{j}_{j}") for j in range(p)), F.lit(0.0))
-    return out.select(
-        *keys, *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)], logdet.alias("logdet")
+        ]
+        out = out.selectExpr("*", *below)
+    out = out.selectExpr("*", *[f"1 / g_{j}_{j} as l_{j}_{j}" for j in range(p)])
+    for off in range(1, p):  # its inverse, one diagonal after the other
+        out = out.selectExpr(
+            "*",
+            *[
+                f"-({total(f'g_{j + off}_{k} * l_{k}_{j}' for k in range(j, j + off))}) / g_{j + off}_{j + off} as l_{j + off}_{j}"
+                for j in range(p - off)
+            ],
+        )
+    return out.selectExpr(
+        *keys,
+        *[f"m_{i}" for i in range(p)],
+        *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)],
+        f"2 * ({total(f'ln(g_{j}_{j})' for j in range(p))}) as logdet",
     )
 
 
+def _settled(sums: DataFrame, *keys: str) -> DataFrame:
+    """Estimates of written sums: the factors are many columns, planned apart from the scan of the rows."""
+    small = written(sums, "sums")
+    params = written(_estimate(small, *keys), "mcd")
+    discard(small)
+    return params
+
+
 def _distance() -> Column:
-    parts = [
-        sum((F.col(f"l_{i}_{j}") * (F.col(AXES[j]) - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0)) ** 2 for i in range(len(AXES))
-    ]
-    return reduce(lambda a, b: a + b, parts)
+    parts = [" + ".join(f"l_{i}_{j} * ({AXES[j]} - m_{j})" for j in range(i + 1)) for i in range(len(AXES))]
+    return F.expr(" + ".join(f"power({part}, 2)" for part in parts))
 
 
 def _bin(d: Column) -> Column:
@@ -204,7 +218,7 @@ def _nearest(rows: DataFrame, params: DataFrame, keys: list[str], share: float)
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Start 0: all rows; start 1: medians with floor scales; others: a few rows drawn by hash."""
+    """Sums of the starts. Start 0: all rows; start 1: medians with floor scales; others: a few rows drawn by hash."""
     p = len(AXES)
     all_rows = rows.groupBy("grp").agg(*_moments()).withColumn("start", F.lit(0))
     mid = rows.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 1000).alias(a) for a in AXES])
@@ -217,16 +231,16 @@ def _starts(rows: DataFrame) -> DataFrame:
         few = rows.groupBy("grp").agg(*picks).select("grp", F.explode(F.array(*[f"p{k}" for k in range(p + 1)])).alias("v"))
         few = few.select("grp", "v.*").groupBy("grp").agg(*_moments()).withColumn("start", F.lit(start))
         drawn = few if drawn is None else drawn.unionByName(few)
-    return _estimate(all_rows.unionByName(middle).unionByName(drawn), "grp", "start")
+    return all_rows.unionByName(middle).unionByName(drawn)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Location and scaled scatter factor of every group `grp`, from rows that pass the base rule."""
     from pyspark.sql import Window
 
-    params = written(_starts(rows), "mcd")
+    params = _settled(_starts(rows), "grp", "start")
     for _ in range(STEPS):
-        after = written(_estimate(_nearest(rows, params, ["grp", "start"], SUBSET), "grp", "start"), "mcd")
+        after = _settled(_nearest(rows, params, ["grp", "start"], SUBSET), "grp", "start")
         discard(params)
         params = after
     first = Window.partitionBy("grp").orderBy("logdet", "start")
@@ -235,7 +249,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     middle = _nearest(rows, best, ["grp"], 0.5).select("grp", (F.pow(F.lit(2.0), (F.col("edge") + 1) / 16) / CHI_MEDIAN).alias("scale"))
     scaled = best.join(middle, "grp").withColumn("scale", F.greatest("scale", F.lit(1.0)))
     weighed = rows.join(scaled, "grp").where(_distance() <= F.col("scale") * CHI_WEIGHT).groupBy("grp").agg(*_moments())
-    return written(_estimate(weighed, "grp"), "mcd")
+    return _settled(weighed, "grp")
 
 
 def quality(
@@ -256,7 +270,8 @@ def quality(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")
     )
     stats = written(vectors(counts(named, "doc_id", "text", "lang", "source")), "stats")
-    grouped = _grouped(stats, least_rows)
+    grouped = written(_grouped(stats, least_rows), "grouped")
+    discard(stats)
     params = estimates(grouped.where("not base_failed").select("grp", *AXES))
     judged = grouped.join(params, "grp", "left").withColumn("distance", _distance())
     return judged.select(
