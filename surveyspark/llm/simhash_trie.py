@@ -14,7 +14,9 @@ with more than a few edits. `near_copies` finds those too. There a text gets sev
 bits of minima over its set of five-word shingles: a bit differs with half the chance that two texts do
 not share a shingle, so with sixteen parts of 48 bits and three bits of budget a pair at a similarity of
 0.8 meets in some part with a chance of 0.995. Each part goes through the same trie join, but parts only
-propose: a link stays where the sets of shingles themselves have a similarity of 0.8 or more.
+propose: a link stays where the sets of shingles themselves have a similarity of 0.8 or more. The trie's
+links are a forest, so a refused link may have stood for others: where the proposed links of a component
+end up in several groups, all its pairs between groups are proposed once more, none left out, and judged.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 share a component; a null id never names a component unless nothing else is in it; an empty table
@@ -39,6 +41,8 @@ SEED = 42
 NODE_ROWS = 50_000
 #: Bits by which a too large node is split at a time.
 SPLIT_BITS = 4
+#: The same where all pairs of a node are kept and not only a forest.
+OPEN_ROWS = 2_000
 #: Depth from which nodes are not split: 256 values at most lie below each side.
 DEEPEST = 56
 #: Shingles whose bits are unpacked at once.
@@ -128,12 +132,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return per_text(id_and_text(df, id_col, text_col), "fp long", lambda text: (fingerprint(text, words_per),))
 
 
-def walk_pairs(values: np.ndarray, first: np.ndarray, second: np.ndarray, budget: np.ndarray) -> tuple:
+def walk_pairs(
+    values: np.ndarray, first: np.ndarray, second: np.ndarray, budget: np.ndarray, labels: np.ndarray | None = None
+) -> tuple:
     """Index pairs of `values` within the budget, by joint descent from pairs of value ranges.
 
     `first` and `second` are (n, 2) arrays of ranges; equal ranges mean a node against itself.
-    Values of a range are sorted and unsigned. All pairs of one depth advance together.
+    Values of a range are sorted and unsigned. All pairs of one depth advance together. With `labels`
+    pairs of one label are left out; a negative label differs from all, itself included.
     """
+    if labels is not None:
+        turns = np.concatenate(([0], np.cumsum((labels[1:] != labels[:-1]) | (labels[1:] < 0))))
+        whole = lambda r: (turns[r[:, 0]] == turns[r[:, 1] - 1]) & (labels[r[:, 0]] >= 0)
     a, b, left = first, second, budget
     out_a, out_b = [], []
     for bit in range(63, -1, -1):
@@ -148,6 +158,10 @@ def walk_pairs(values: np.ndarray, first: np.ndarray, second: np.ndarray, budget
         left = np.concatenate((left, left, left - 1, left[~own] - 1))
         size_a, size_b = a[:, 1] - a[:, 0], b[:, 1] - b[:, 0]
         live = (left >= 0) & (size_a > 0) & (size_b > 0) & ~((a[:, 0] == b[:, 0]) & (size_a == 1))
+        if labels is not None:
+            at = np.nonzero(live)[0]
+            x, y = a[at], b[at]
+            live[at[whole(x) & whole(y) & (labels[x[:, 0]] == labels[y[:, 0]])]] = False
         single = live & (size_a == 1) & (size_b == 1)
         if single.any():  # two leaves: their remaining bits settle them at once
             below = np.uint64((1 << bit) - 1)
@@ -191,6 +205,7 @@ def _blocks(budget: int, bits: int) -> list[tuple[int, int]]:
 
 def _start_nodes(prints: DataFrame, budget: int, bits: int) -> DataFrame:
     """Each value once per block, turned so that the block leads; `block` also tells the part."""
+    more = [c for c in prints.columns if c == "root"]
     starts = []
     for k, (lo, width) in enumerate(_blocks(budget, bits)):
         turned = F.shiftleft("fp", lo).bitwiseOR(F.shiftrightunsigned("fp", bits - lo)) if lo else F.col("fp")
@@ -205,7 +220,7 @@ def _start_nodes(prints: DataFrame, budget: int, bits: int) -> DataFrame:
                 turned.alias("turned"),
             )
         )
-    rows = prints.select("part", "fp", F.explode(F.array(*starts)).alias("n")).select("fp", "n.*")
+    rows = prints.select("part", "fp", *more, F.explode(F.array(*starts)).alias("n")).select("fp", *more, "n.*")
     return rows.withColumns({"side": F.lit(0), "left": F.lit(budget)})
 
 
@@ -221,6 +236,7 @@ def _split(rows: DataFrame, budget: int) -> DataFrame:
     head = lambda p: F.shiftleft(p, SPLIT_BITS)
     return grown.select(
         "fp",
+        *[c for c in rows.columns if c == "root"],
         "block",
         (F.col("depth") + SPLIT_BITS).alias("depth"),
         head("pa").bitwiseOR(F.when(swap, F.col("other")).otherwise(F.col("own"))).alias("pa"),
@@ -232,11 +248,14 @@ def _split(rows: DataFrame, budget: int) -> DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join each node pair with itself; rows come sorted by node pair, side and turned value."""
+    """Join each node pair with itself; rows come sorted by node pair, side and turned value.
+
+    Rows with a `root` give all pairs of different roots, others a forest.
+    """
     names = ["fp", "block", "depth", "pa", "pb", "turned", "side", "left"]
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        fp, block, depth, pa_, pb_, turned, side, left = rows
+        fp, block, depth, pa_, pb_, turned, side, left, *root = rows
         n = len(fp)
         change = np.ones(n, bool)
         change[1:] = (block[1:] != block[:-1]) | (depth[1:] != depth[:-1]) | (pa_[1:] != pa_[:-1]) | (pb_[1:] != pb_[:-1])
@@ -250,15 +269,17 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = (first[:, 1] > first[:, 0]) & (second[:, 1] > second[:, 0]) & (stop - start > 1)
         low = np.where(depth >= 64, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(depth, 63).astype(np.uint64))
         values = turned.view(np.uint64) & low
-        a, b = walk_pairs(values, first[use], second[use], left[start][use].astype(np.int64))
-        kept = list(forest(a, b))
-        x = np.array([k[0] for k in kept], np.int64)
-        y = np.array([k[1] for k in kept], np.int64)
+        x, y = walk_pairs(values, first[use], second[use], left[start][use].astype(np.int64), *root)
+        if not root:
+            kept = list(forest(x, y))
+            x = np.array([k[0] for k in kept], np.int64)
+            y = np.array([k[1] for k in kept], np.int64)
         columns = [pa.array(c, pa.int64()) for c in (block[x] // 16, fp[x], fp[y])]
         return pa.RecordBatch.from_arrays(columns, ["part", "a", "b"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
+        names += [c for c in batch.schema.names if c == "root" and c not in names]
         new = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
         held = new if held is None else [np.concatenate(p) for p in zip(held, new)]
         n = len(held[0])
@@ -276,7 +297,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_fingerprints(prints: DataFrame, budget: int = 2, bits: int = 64, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Links `(part, a, b)` of different values `(part, fp)`; they keep every component within the budget."""
+    """Links `(part, a, b)` of different values `(part, fp)`; they keep every component within the budget.
+
+    Where `prints` have a `root`, all pairs of different roots; a negative root differs from all.
+    """
     rows = written(_start_nodes(prints, budget, bits), "trie")
     found = None
     while True:
@@ -337,6 +361,32 @@ def _accepted(links: DataFrame, classes: DataFrame, texts: DataFrame, words_per:
     return kept
 
 
+def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with the `root` of their component."""
+    tree = written(components(links), "roots")
+    return classes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open_links(values: DataFrame, placed: DataFrame, proposed: DataFrame) -> DataFrame:
+    """All pairs `(a, b)` of nodes that meet in a part and have different roots, among nodes `proposed` links reach.
+
+    Only components of `proposed` that fell into several roots count: elsewhere no pair is open.
+    """
+    reach = placed.join(written(components(proposed), "reach").toDF("node", "whole"), "node").select("node", "root", "whole")
+    split = reach.groupBy("whole").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    nodes = reach.join(split, "whole", "left_semi").select("node", "root")
+    members = written(values.join(nodes, "node"), "members")
+    marks = members.groupBy("part", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    marks = written(marks.select("part", "fp", F.expr("if(low = high, low, -1L)").alias("root")), "marks")
+    near = linked_fingerprints(marks, PART_BUDGET, PART_BITS, OPEN_ROWS).distinct()
+    near = near.unionByName(marks.where("root < 0").select("part", F.col("fp").alias("a"), F.col("fp").alias("b")))
+    for side in ("a", "b"):
+        ends = members.select("part", F.col("fp").alias(side), F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
+        near = near.join(ends, ["part", side])
+    near = near.where("root_a <> root_b")
+    return near.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5) -> DataFrame:
     """`(doc_id, fps, component_id)` of every document, linked where five-word shingles have a similarity of 0.8 or more."""
     made = per_text(id_and_text(df, id_col, text_col), "fps array<bigint>, text string", lambda t: (wide_fingerprint(t, words_per), t))
@@ -352,8 +402,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         head = heads.select("part", F.col("fp").alias(side), F.col("head").alias(f"head_{side}"))
         near = near.join(head, ["part", side])
     links = equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).distinct()
-    tree = written(components(_accepted(links, classes, texts, words_per)), "roots")
-    placed = classes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = written(links, "links")
+    kept = _accepted(links, classes, texts, words_per)
+    placed = written(_placed(classes, kept), "placed")
+    more = _accepted(_open_links(values, placed, links), classes, texts, words_per)
+    if not more.isEmpty():
+        placed = _placed(classes, kept.unionByName(more))
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return wide.select("doc_id", "fps").join(placed.join(names, "root").select("fps", "component_id"), "fps")
 

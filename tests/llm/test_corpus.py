@@ -116,18 +116,6 @@ def test_near_copies_of_edited_texts(spark):
     assert got(found, "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
-def family(seed: int, n: int, size: int, changed: int) -> list[str]:
-    """Texts that differ from one base in `changed` words each, none within five words of another change."""
-    base = prose(seed, size).split()
-    texts = []
-    for k in range(n):
-        words = list(base)
-        for j in range(changed):
-            words[10 + 12 * (n * j + k)] = f"edit{k}x{j}"
-        texts.append(" ".join(words))
-    return texts
-
-
 def jaccard(a: str, b: str) -> float:
     x, y = (set(simhash_trie.shingle_hashes(t, 5).tolist()) for t in (a, b))
     return len(x & y) / len(x | y)
@@ -164,6 +152,26 @@ def test_near_copies_keep_what_is_below_the_rule(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == {k: k for k in range(120)}
 
 
+def test_near_copies_within_half_alike_families(spark):
+    pick, base, rows = random.Random(8), prose(21, 404).split(), []
+    for k in range(60):  # members are 0.7 to 0.8 alike, each has one twin
+        member = list(base)
+        for p in pick.sample(range(404), 6):
+            member[p] = f"own{k}x{p}"
+        twin = list(member)
+        for p in pick.sample(range(404), 2):
+            twin[p] = f"twin{k}x{p}"
+        rows += [(k, " ".join(member)), (100 + k, " ".join(twin))]
+    alike = np.array([[jaccard(a, b) >= 0.8 for _, b in rows] for _, a in rows])
+    label = np.arange(len(rows))
+    while (new := np.where(alike, label, len(rows)).min(1)).tolist() != label.tolist():
+        label = new
+    expected = {i: min(rows[j][0] for j in np.nonzero(label == g)[0]) for (i, _), g in zip(rows, label)}
+    assert len(set(expected.values())) > 30 and all(expected[100 + k] == expected[k] for k in range(60))
+    found = simhash_trie.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+
+
 def test_bpe_equals_tiktoken(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.read_ranks(path), special_tokens={})
