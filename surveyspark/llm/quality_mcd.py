@@ -10,7 +10,8 @@ The steps run for all groups and starts at once. A step is one join with the sma
 estimates and one combined aggregation of moments by group, start and distance bin, so a hot group
 costs each task its own rows only and nothing of a group is gathered. Bins are sixteenths of a
 doubling, so a subset holds the wanted share of rows or slightly more. Groups with fewer than
-`least_rows` rows share the estimate of their language, or of the whole table. Variances have
+`least_rows` rows share the estimate of their language, or of the whole table: of all its rows, those of
+the groups with an estimate of their own included. Variances have
 floors (`FLOORS`), so a statistic that is constant in a group does not make the scatter singular.
 
 Edge cases: null and empty texts have no words and fail the base rule; null language or source is a
@@ -129,14 +130,23 @@ def _key(*columns: str) -> Column:
 
 
 def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
-    """Adds `grp`: language and source, or the language, or all, whichever has enough rows."""
+    """Adds `grp`, whose estimate judges the row, and `labels`, the groups whose estimates the row enters.
+
+    `grp` is language and source, or the language, or all, whichever has enough rows.
+    """
     fit = F.count(F.when(~F.col("base_failed"), 1))
     fine = rows.groupBy(_key("lang", "source").alias("own"), _key("lang").alias("wide")).agg(fit.alias("n"))
     wide = fine.groupBy("wide").agg(F.sum("n").alias("all"))
     pick = fine.join(wide, "wide").select(
         "own",
+        "wide",
         F.when(F.col("n") >= least_rows, F.col("own")).when(F.col("all") >= least_rows, F.col("wide")).otherwise("all").alias("grp"),
     )
+    pick = written(pick, "pick")
+    entered = pick.select("own", F.explode(F.array("own", "wide", F.lit("all"))).alias("label"))
+    entered = entered.join(pick.select(F.col("grp").alias("label")).distinct(), "label", "left_semi")
+    entered = entered.groupBy("own").agg(F.collect_set("label").alias("labels"))
+    pick = pick.join(entered, "own", "left").select("own", "grp", "labels")
     return rows.withColumn("own", _key("lang", "source")).join(pick, "own").drop("own")
 
 
@@ -272,7 +282,7 @@ def quality(
     stats = written(vectors(counts(named, "doc_id", "text", "lang", "source")), "stats")
     grouped = written(_grouped(stats, least_rows), "grouped")
     discard(stats)
-    params = estimates(grouped.where("not base_failed").select("grp", *AXES))
+    params = estimates(grouped.where("not base_failed").select(F.explode("labels").alias("grp"), *AXES))
     judged = grouped.join(params, "grp", "left").withColumn("distance", _distance())
     return judged.select(
         "doc_id",

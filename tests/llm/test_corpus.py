@@ -221,6 +221,16 @@ def test_quality_counts_and_outliers(spark, docs, empty):
     assert {r.doc_id for r in judged.where("not kept").collect()} == {1000, 1001}
 
 
+def test_quality_of_small_groups_rests_on_all_rows(spark):
+    rows = [(k, prose(1000 + k, 60 + k), "en", "a") for k in range(80)]
+    rows += [(100 + k, prose(1200 + k, 60 + k), "de", "a") for k in range(30)]
+    junk = " ".join(w + "###" for w in prose(5, 60).split())
+    rows += [(200, junk, "en", "b"), (201, prose(7, 70), "en", "c"), (202, junk, "xx", "a"), (203, prose(8, 70), None, None)]
+    judged = quality_mcd.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert judged.count() == len(rows)
+    assert {r.doc_id for r in judged.where("not kept").collect()} == {200, 202}
+
+
 def test_quality_runs_no_python(docs):
     plan = quality_mcd.counts(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
