@@ -4,7 +4,9 @@ Validated numbers (payment cards with a right check digit, phone numbers, IPv4 a
 e-mail names and secret keys are replaced inside their own format: a balanced Feistel network over
 the domain's size, walked until the result lies in the domain, permutes all values of a format with
 one key. The same value becomes the same pseudonym in every document, different values stay
-different, lengths and separators stay, cards keep a right check digit and dates stay dates.
+different, lengths and separators stay, cards keep a right check digit and dates stay dates. Keys of
+hex digits keep their case, and a phone number its country code, however it is grouped; without one,
+the groupings of North America and those with a leading zero are known.
 Numbers that fail validation are left alone. `reveal` runs the rounds backwards.
 
 Edge cases: a null text stays null, an empty one empty; repeated rows are changed alike; texts of
@@ -40,8 +42,20 @@ FINDER = re.compile(
     r"""
       (?P<email>[A-Za-z0-9][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})
     | (?P<aws>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))
-    | (?P<secret>(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9]))
-    | (?P<phone>(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{4}(?!\d))
+    | (?P<secret>(?<![A-Za-z0-9])[0-9a-fA-F]{40}(?![A-Za-z0-9]))
+    | (?P<phone>
+        (?<![\w+])\+(?:
+            \d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{4}
+          | \d{1,3}[ .-]\(?\d{1,5}\)?[ .-]\d{3,4}[ .-]\d{3,4}
+          | \d{1,3}[ .-]\(?\d{1,4}\)?(?:[ .-]\d{2}){3,5}
+          | \d{1,3}[ .-]?\(?\d{1,5}\)?[ .-]\d{5,9}
+          | \d{8,15}
+        )(?!\d)
+      | (?<![\w(+])\(\d{3}\)[ -]?\d{3}[ .-]\d{4}(?!\d)
+      | (?<![\w.+/-])(?<!\d[ ])\d{3}(?P<mark>[.-])\d{3}(?P=mark)\d{4}(?![\w/-]|[. ]\d)
+      | (?<![\w.+/-])(?<!\d[ ])0\d{1,4}[ /-]\d{6,8}(?![\w/-]|[. ]\d)
+      | (?<![\w.+/-])(?<!\d[ ])0\d(?:[ ]\d\d){4}(?![\w/-]|[. ]\d)
+      )
     | (?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d))
     | (?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d]|[/-]\d))
     | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
@@ -49,8 +63,10 @@ FINDER = re.compile(
     """,
     re.VERBOSE,
 )
-#: Cheap test: every kind holds a digit.
-_ANY_DIGIT = re.compile(r"[0-9]")
+#: Cheap test: a text without any of these holds no kind.
+_ANY = re.compile(r"[0-9@]|AKIA|[A-Fa-f]{40}")
+#: Country codes of one and of two digits; all others have three.
+_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
 
 def _round(key: bytes, tweak: bytes, step: int, half: int, size: int) -> int:
@@ -119,11 +135,16 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str:
-    """The country code stays; the digits behind it are permuted."""
-    code = re.match(r"\+\d{1,3}(?=[ (-])|\+\d", text).group()
-    digits = re.sub(r"\D", "", text[len(code) :])
-    n = len(digits)
-    return code + _with_digits(text[len(code) :], f"{permute(int(digits), 10**n, key, b'phone' + code.encode(), back):0{n}d}")
+    """The country code, or the zero that leads a number without one, stays; the digits behind are permuted."""
+    digits = re.sub(r"\D", "", text)
+    if text[0] == "+":
+        code = _CODE.match("+" + digits).group()
+    else:
+        code = "0" if text[0] == "0" else ""
+    rest = digits[len(code.lstrip("+")) :]
+    n = len(rest)
+    new = f"{permute(int(rest), 10**n, key, b'phone' + code.encode(), back):0{n}d}"
+    return _with_digits(text, code.lstrip("+") + new)
 
 
 def _ip(text: str, key: bytes, back: bool) -> str | None:
@@ -183,7 +204,24 @@ def _aws(text: str, key: bytes, back: bool) -> str:
 
 
 def _secret(text: str, key: bytes, back: bool) -> str:
-    return f"{permute(int(text, 16), 16**40, key, b'secret', back):040x}"
+    """Digits and letters of one case are permuted together; in mixed case each stays what it is."""
+    if text.lower() == text or text.upper() == text:
+        value = int(text, 16)
+        while True:
+            value = permute(value, 16**40, key, b"secret", back)
+            new = f"{value:040x}"
+            if new.isdigit() == text.isdigit():  # the case could not be told from digits alone
+                return new if text.lower() == text else new.upper()
+    sets = ["abcdef" if c.islower() else "ABCDEF" if c.isupper() else _DIGITS for c in text]
+    value, size = 0, 1
+    for c, a in zip(text, sets):
+        value, size = value * len(a) + a.index(c), size * len(a)
+    value = permute(value, size, key, b"secret|" + "".join(a[0] for a in sets).encode(), back)
+    out = []
+    for a in reversed(sets):
+        value, at = divmod(value, len(a))
+        out.append(a[at])
+    return "".join(reversed(out))
 
 
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
@@ -206,15 +244,14 @@ def pseudonym(kind: str, value: str, key: str, back: bool = False) -> str | None
 
 def replace(text: str | None, key: str, back: bool = False) -> tuple[str | None, int]:
     """The text with pseudonyms, and how many there are."""
-    if text is None or not _ANY_DIGIT.search(text):
-        # keys of capitals alone or names without digits hold no digit
-        if text is None or ("@" not in text and "AKIA" not in text):
-            return text, 0
+    if text is None or not _ANY.search(text):
+        return text, 0
     count = 0
 
     def swap(match: re.Match) -> str:
         nonlocal count
-        new = pseudonym(match.lastgroup, match.group(), key, back)
+        kind = next(k for k in KINDS if match[k] is not None)
+        new = pseudonym(kind, match.group(), key, back)
         count += new is not None
         return match.group() if new is None else new
 

@@ -319,6 +319,28 @@ def test_pseudonyms(docs, empty):
     assert feistel_pii.pseudonymise(empty, key).count() == 0
 
 
+def test_pseudonyms_of_other_writings():
+    key, token = "secret", "9233a8ec" * 5
+    samples = [token.upper(), token, "9233A8ec" * 5, "DEADBEEF" * 5, "(487) 555-7209", "(487)555-7209", "487-555-7209", "487.555.7209"]
+    samples += ["+49 30 12345678", "+33 1 23 45 67 89", "+44 20 7946 0958", "+1-487-555-7209", "+493012345678", "+49 (30) 1234567"]
+    samples += ["030 12345678", "030/12345678", "01 23 45 67 89", "+353 1 234 5678", "+1 (487) 555-7209"]
+    for text in [f"See {s}, and {s}." for s in samples] + [f"SEE {s}, AND {s}." for s in samples]:
+        new, n = feistel_pii.replace(text, key)
+        shape = lambda t: re.sub("[0-9]", "0", t)
+        assert n == 2 and new != text and not any(s in new for s in samples), text
+        assert feistel_pii.replace(new, key, back=True)[0] == text
+        if token.lower() not in text.lower() and "DEAD" not in text:
+            assert shape(new) == shape(text)
+    upper, lower = (feistel_pii.replace(t, key)[0] for t in (token.upper(), token))
+    assert upper == lower.upper() and upper != lower
+    mixed = feistel_pii.replace("9233A8ec" * 5, key)[0]
+    assert [(c.isdigit(), c.isupper()) for c in mixed] == [(c.isdigit(), c.isupper()) for c in "9233A8ec" * 5]
+    numbers = {re.sub(r"\D", "", feistel_pii.replace(t, key)[0]) for t in ("+4915123456789", "+49 15123456789", "+49 1512 3456789")}
+    assert len(numbers) == 1 and numbers.pop().startswith("49")
+    for left in ("4929348385146307", "4929-3483-8514-6307", "0123 4567 8901", "1.2.3", "12 34 56 78 90 12", token + "a"):
+        assert feistel_pii.replace(left, key) == (left, 0)
+
+
 def test_html_blocks(spark):
     page = (
         "<html><head><title>T</title><script>if (a<b) '</p>';</script></head><body><nav><a href=x>Home</a></nav>"
