@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe_duckdb,
+    conversation_blocks,
+    conversation_sql,
     decontaminate,
     feistel_pii,
     html_blocks,
+    lang_embed,
     quality_mcd,
     simhash_trie,
     substring_cover,
     suffix_groups,
+    token_alignment,
     toxicity_weak,
     unigram_trie,
 )
@@ -91,3 +95,19 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_groups")
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_groups.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_conversation_blocks", conversation_sql.AUDIT)
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversation_blocks.audit(conversation_blocks.damaged(given), given)
+
+
+@query("op12_token_alignment")
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lang_embed")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_embed.languages(table(spark, sf_dir, "documents"))
