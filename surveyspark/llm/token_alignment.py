@@ -14,7 +14,8 @@ their cell, never to single links. The best count of each id of B is broadcast;
 the vocabulary of the piece model.
 
 Long texts are encoded in parts that begin with a blank after another character; neither tokenizer joins
-tokens across such a place (the piece model is checked for it), so ids are those of the whole text.
+tokens across such a place (the piece model is checked for it), so ids are those of the whole text. The
+byte-level vocabulary is applied by its ranks where its file proves that ranks and merges agree.
 
 Edge cases: a text that is null, empty, or not given back by the bytes of either side's tokens has no
 tokens, zeros and an empty digest; repeated rows count each on their own; equal counts of an id of B are
@@ -26,7 +27,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 
@@ -34,6 +34,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,18 +64,17 @@ class Pair:
     """Both tokenizers with the bytes of their tokens."""
 
     def __init__(self, json_path: str, model_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(json_path)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=model_path)
         of_char = byte_alphabet()
         with open(json_path, encoding="utf-8") as lines:
-            added = {t["id"] for t in json.load(lines)["added_tokens"]}
-        size = self.a.get_vocab_size()
-        names = [self.a.id_to_token(k) or "" for k in range(size)]
-        self.bytes_a = [n.encode() if k in added else bytes(map(of_char.__getitem__, n)) for k, n in enumerate(names)]
+            stored = json.load(lines)
+        added = {t["id"] for t in stored["added_tokens"]}
+        names = {k: n for n, k in stored["model"]["vocab"].items()} | {t["id"]: t["content"] for t in stored["added_tokens"]}
+        size = max(names) + 1
+        self.bytes_a = [
+            names.get(k, "").encode() if k in added else bytes(map(of_char.__getitem__, names.get(k, ""))) for k in range(size)
+        ]
+        self.encode_a = byte_level(json_path, self.bytes_a, added)
         self.bytes_b = []
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
@@ -98,19 +98,45 @@ class Pair:
             begin = found.end()
         return [*out, text[begin:]]
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none where their bytes are not those of a blank and the text."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not text:
-            return [], []
-        a: list[int] = []
+            return nothing
+        a: list[np.ndarray] = []
         b: list[int] = []
         for part in self.parts(text):
-            a += self.a.encode(" " + part, add_special_tokens=False).ids
-            b += self.b.encode(part, num_threads=1)
+            a.append(self.encode_a(" " + part))
+            b += self.b.encode(part, num_threads=1)  # adds the blank itself
+        whole = np.concatenate(a).astype(np.int64)
         raw = b" " + text.encode("utf-8", "replace")
-        if any(b"".join(map(of.__getitem__, ids)) != raw for of, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-            return [], []
-        return a, b
+        # a byte-level side that covers as many bytes covers these, so its bytes need no joining
+        if self.size_a[whole].sum() != len(raw) or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return nothing
+        return whole, np.array(b, np.int64)
+
+
+def byte_level(json_path: str, of: list[bytes], added: set[int]):
+    """The encoding function of a byte-level vocabulary.
+
+    Where merges stand in the order of the ids they make, as training leaves them, ranks say the same
+    as merges and the faster library for ranks is used; otherwise the vocabulary's own.
+    """
+    with open(json_path, encoding="utf-8") as lines:
+        merges = json.load(lines)["model"]["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    of_char = byte_alphabet()
+    made = [bytes(map(of_char.__getitem__, x + y)) for x, y in pairs]
+    plain = [t for k, t in enumerate(of) if k not in added]
+    if plain[256:] == made and sorted(plain[:256]) == [bytes([k]) for k in range(256)] and not added & set(range(len(plain))):
+        ranks = {t: k for k, t in enumerate(plain)}
+        ranked = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: ranked.encode_to_numpy(text, disallowed_special=())
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(json_path)
+    own.encode_special_tokens = True
+    return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,36 +159,35 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last
         if not len(lo):
             break
         middle = (lo + hi - 1) // 2
-        cut, met = np.full(len(lo), -1), np.zeros(len(lo), np.int64)
-        open_, inner, outer = np.arange(len(lo)), 0, 1
+        met = np.searchsorted(ends_b, ends_a[middle])
+        cut = np.where(ends_b[np.minimum(met, len(ends_b) - 1)] == ends_a[middle], middle, -1)
+        open_, inner = np.flatnonzero((cut < 0) & (hi - lo > 1)), 1
         while len(open_):
-            # places at a distance from `inner` to below `outer` on either side of the middle
-            left = np.maximum(lo[open_], middle[open_] - outer + 1)
-            right = np.minimum(hi[open_], middle[open_] + outer)
-            if inner:
-                begins = np.concatenate((left, np.minimum(middle[open_] + inner, right)))
-                stops = np.concatenate((np.maximum(middle[open_] - inner + 1, left), right))
-                owner = np.concatenate((open_, open_))
-            else:
-                begins, stops, owner = left, right, open_
-            sizes = np.maximum(stops - begins, 0)
-            who = np.repeat(owner, sizes)
+            # places at a distance from `inner` to below twice that, on either side of the middle
+            outer, at_middle = 2 * inner, middle[open_]
+            left, right = np.maximum(lo[open_], at_middle - outer + 1), np.minimum(hi[open_], at_middle + outer)
+            begins = np.concatenate((left, np.minimum(at_middle + inner, right)))
+            sizes = np.concatenate((np.maximum(at_middle - inner + 1, left), right)) - begins
+            sizes = np.maximum(sizes, 0)
+            who = np.repeat(np.concatenate((open_, open_)), sizes)
             place = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
             at = np.searchsorted(ends_b, ends_a[place])
             shared = ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a[place]
             who, place, at = who[shared], place[shared], at[shared]
-            nearest = np.lexsort((place, np.abs(place - middle[who]), who))
-            first = nearest[np.concatenate(([True], who[nearest][1:] != who[nearest][:-1]))] if len(who) else nearest
-            cut[who[first]], met[who[first]] = place[first], at[first]
-            over = (middle[open_] - outer < lo[open_]) & (middle[open_] + outer >= hi[open_])
-            open_ = open_[(cut[open_] < 0) & ~over]
-            inner, outer = outer, 2 * outer
+            if len(who):
+                nearest = np.lexsort((place, np.abs(place - middle[who]), who))
+                first = nearest[np.concatenate(([True], who[nearest][1:] != who[nearest][:-1]))]
+                cut[who[first]], met[who[first]] = place[first], at[first]
+            over = (at_middle - outer < lo[open_]) & (at_middle + outer >= hi[open_])
+            open_, inner = open_[(cut[open_] < 0) & ~over], outer
         split = cut >= 0
         lo, hi, blo, bhi, cut, met = (v[split] for v in (lo, hi, blo, bhi, cut, met))
         cuts_a.append(cut)
         cuts_b.append(met)
-        lo, hi = np.concatenate((lo, cut + 1)), np.concatenate((cut, hi))
-        blo, bhi = np.concatenate((blo, met + 1)), np.concatenate((met, bhi))
+        # halves stay side by side, so that the next ends are looked up in order
+        lo, hi, blo, bhi = (
+            np.stack(halves, 1).ravel() for halves in ((lo, cut + 1), (cut, hi), (blo, met + 1), (met, bhi))
+        )
     found_a, found_b = np.concatenate(cuts_a), np.concatenate(cuts_b)
     order = np.argsort(found_a)
     return found_a[order], found_b[order]
@@ -171,11 +196,11 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, last
 class Aligned:
     """Groups of a slice of encoded texts that have tokens."""
 
-    def __init__(self, of: Pair, rows: list[tuple[list[int], list[int]]]):
+    def __init__(self, of: Pair, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n_a = np.array([len(a) for a, _ in rows])
         self.n_b = np.array([len(b) for _, b in rows])
-        ids_a = np.concatenate([np.array(a, np.int64) for a, _ in rows])
-        ids_b = np.concatenate([np.array(b, np.int64) for _, b in rows])
+        ids_a = np.concatenate([a for a, _ in rows])
+        ids_b = np.concatenate([b for _, b in rows])
         last_a, last_b = np.cumsum(self.n_a) - 1, np.cumsum(self.n_b) - 1
         cut_a, cut_b = common_ends(np.cumsum(of.size_a[ids_a]), np.cumsum(of.size_b[ids_b]), last_a, last_b)
         self.stops = np.searchsorted(cut_a, last_a) + 1  # groups up to the end of each text
@@ -255,10 +280,10 @@ def aligned(df: DataFrame, id_col: str, text_col: str, json_path: str, model_pat
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
                 encoded = [of.encode(t) for t in batch.column(1).to_pylist()]
-                full = [e for e in encoded if e[0]]
+                full = [e for e in encoded if len(e[0])]
                 found = Aligned(of, full).rows() if full else iter(())
                 for doc, e in zip(batch.column(0).to_pylist(), encoded):
-                    row = (doc, *(next(found) if e[0] else zeros))
+                    row = (doc, *(next(found) if len(e[0]) else zeros))
                     if held and links + len(row[3]) > CELL_LINKS:
                         yield from closed(cell, held)
                         cell, held, links = cell + 1, [], 0

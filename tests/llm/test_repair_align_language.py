@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from surveyspark.llm import conversation_blocks, conversation_sql, lang_embed, token_alignment
 
@@ -170,9 +171,11 @@ def texts(spark):
 
 def plain_alignment(rows):
     of = token_alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
     counts, kept = Counter(), []
     for doc, text in rows:
-        a = of.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = own.encode(" " + text, add_special_tokens=False).ids if text else []
         b = of.b.encode(text) if text else []
         raw = (" " + text).encode() if text else b""
         if not text or any(b"".join(side[k] for k in ids) != raw for side, ids in ((of.bytes_a, a), (of.bytes_b, b))):
@@ -228,6 +231,20 @@ def test_common_ends_on_random_cuts():
         assert a[found_a].tolist() == b[found_b].tolist() == sorted(set(ends_a) & set(ends_b))
 
 
+def test_ranks_say_the_same_as_merges():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    of = token_alignment.Pair(path, public_tokenizers.path("piece_bpe_32k.model"))
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    assert "ranked" in of.encode_a.__code__.co_freevars
+    pick = random.Random(2)
+    kinds = ["aab ", "abcdefghijklmnopqrstuvwxyz ", "éàüß ñ", "01 23.,;'s", "日本語кирил 😀", "\t\n  x", "AaBb<|>endoftext"]
+    for _ in range(3000):
+        text = "".join(pick.choice(pick.choice(kinds)) for _ in range(pick.randrange(60)))
+        assert of.encode_a(text).tolist() == own.encode(text, add_special_tokens=False).ids, text
+    assert of.encode_a("<|endoftext|>").tolist() == own.encode("<|endoftext|>", add_special_tokens=False).ids
+
+
 def test_alignment_of_nothing(texts):
     assert token_alignment.alignment(texts.limit(0)).count() == 0
     assert token_alignment.alignment(texts.where("text is null")).first().groups_sha256 == ""
