@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.polyline import edges, point_to_edge
 from ..functions.timeops import micros
 from ..session import checkpointed
+from . import pyramid
 from .ordered import arrange
+from .pyramid import EDGE
 
 PAIRS_PER_TASK = 20_000_000
 SIDE_ROWS = 200_000
@@ -19,7 +23,7 @@ def interval_sums(
     facts: DataFrame,
     *,
     probe_id: list[str],
-    lo: Column,
+    lo: Column | dict[str, Column],
     hi: Column,
     at: Column,
     measures: dict[str, Column],
@@ -31,9 +35,12 @@ def interval_sums(
     A sweep: both interval ends and the facts (pre-summed per moment) are put in one order,
     and the running sum at the end minus the one at the start is the answer. No pair of rows
     is ever formed, so dense groups cost no more than a sort. Measures must be whole numbers.
+    With several named `lo`, each measure comes once per name, which is put behind its own; all
+    share the end and the sweep.
     """
     keys = keys or []
     names = list(measures)
+    begins = lo if isinstance(lo, dict) else {"": lo}
     known = at.isNotNull()
     for key in keys:
         known = known & F.col(key).isNotNull()
@@ -42,7 +49,8 @@ def interval_sums(
         .groupBy(*keys, at.alias("_t"))
         .agg(*[F.sum(value.cast("bigint")).alias(name) for name, value in measures.items()])
     )
-    usable = lo.isNotNull() & hi.isNotNull() & (lo <= hi)
+    usable = {k: v.isNotNull() & hi.isNotNull() & (v <= hi) for k, v in begins.items()}
+    any_usable = functools.reduce(lambda a, b: a | b, usable.values())
     payload = F.struct(*[F.col(c) for c in probes.columns])
     payload_type = probes.select(payload.alias("p")).schema["p"].dataType
     spread = F.xxhash64(*[F.col(c) for c in probe_id])
@@ -56,14 +64,18 @@ def interval_sums(
         payload.alias("_payload"),
         F.explode(
             F.array(
-                F.struct(F.when(usable, lo).alias("_t"), F.lit(0).alias("_side")),
-                F.struct(F.when(usable, hi).alias("_t"), F.lit(2).alias("_side")),
+                *[
+                    F.struct(F.when(usable[k], v).alias("_t"), F.lit(0).alias("_side"), F.lit(k).alias("_begin"))
+                    for k, v in begins.items()
+                ],
+                F.struct(F.when(any_usable, hi).alias("_t"), F.lit(2).alias("_side"), F.lit("").alias("_begin")),
             )
         ).alias("_end"),
     ).select(
         *keys,
         F.col("_end._t").alias("_t"),
         F.col("_end._side").alias("_side"),
+        F.col("_end._begin").alias("_begin"),
         "_spread",
         *[f"_id_{c}" for c in probe_id],
         F.when(F.col("_end._side") == 2, F.col("_payload")).alias("_payload"),
@@ -74,6 +86,7 @@ def interval_sums(
         *keys,
         "_t",
         F.lit(1).alias("_side"),
+        F.lit("").alias("_begin"),
         F.lit(0).cast("bigint").alias("_spread"),
         *[F.lit(None).cast(id_types[f"_id_{c}"]).alias(f"_id_{c}") for c in probe_id],
         F.lit(None).cast(payload_type).alias("_payload"),
@@ -81,20 +94,27 @@ def interval_sums(
     )
     swept = (
         arrange(
-            ends.unionByName(facts_side), keys, ["_t", "_side", "_spread"], group_rows=group_rows
+            ends.unionByName(facts_side), keys, ["_t", "_side", "_spread", "_begin"], group_rows=group_rows
         )
         .running_sum(**{f"_run_{n}": F.col(n) for n in names})
         .done()
     )
-    sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
+    # a begin without a place in time counts nothing, nor does its share of the end
+    def upto(name: str, begin: str) -> Column:
+        here = F.when((F.col("_side") == 0) & (F.col("_begin") == begin), F.col(f"_run_{name}"))
+        end = F.when(F.col("_side") == 2, F.col(f"_run_{name}"))
+        placed = F.max(F.when((F.col("_side") == 0) & (F.col("_begin") == begin), F.col("_t").isNotNull()))
+        return F.when(placed, F.sum(end) - F.sum(here)).otherwise(0).alias(f"{name}{begin}")
+
+    outs = [upto(n, b) for n in names for b in begins]
     return (
         swept.where("_side <> 1")
         .groupBy(*[f"_id_{c}" for c in probe_id])
         .agg(
             F.any_value("_payload", F.lit(True)).alias("_payload"),
-            *[F.sum(sign * F.col(f"_run_{n}")).alias(n) for n in names],
+            *outs,
         )
-        .select("_payload.*", *names)
+        .select("_payload.*", *[f"{n}{b}" for n in names for b in begins])
     )
 
 
@@ -146,9 +166,6 @@ def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("bigint")
 
 
-EDGE = ("ax", "ay", "bx", "by")
-
-
 def edge_rows(shapes: DataFrame, line: str = "line") -> DataFrame:
     """One row per straight edge (`ax, ay, bx, by`) instead of a line per row.
 
@@ -204,42 +221,25 @@ def near_pairs(
     return joined.drop(*dropped).withColumn(out, distance).where(F.col(out) <= radius).drop(*EDGE)
 
 
-def extent(points: DataFrame, point_xy: tuple[str, str], shapes: DataFrame) -> float | None:
-    """Diagonal of the box around both tables; None when either has no position."""
-    x, y = point_xy
-    here = points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-    there = shapes.agg(
-        *[F.min(F.least(f"a{c}", f"b{c}")) for c in "xy"],
-        *[F.max(F.greatest(f"a{c}", f"b{c}")) for c in "xy"],
-    ).first()
-    if here[0] is None or there[0] is None:
-        return None
-    width = max(here[2], there[2]) - min(here[0], there[0])
-    height = max(here[3], there[3]) - min(here[1], there[1])
-    return (width * width + height * height) ** 0.5
-
-
 def nearest_shape(
     points: DataFrame,
     shapes: DataFrame,
     *,
     point_id: list[str],
     shape_id: str,
-    start_radius: float,
     point_xy: tuple[str, str] = ("x_m", "y_m"),
     keys: list[str] | None = None,
-    growth: float = 4.0,
-    pairs_per_task: int | None = None,
 ) -> DataFrame:
-    """Nearest shape of every point: `point_id`, `shape_id`, `distance_m`; ties to the least id.
+    """Nearest shape of every point: `keys, point_id, shape_id, distance_m`; ties to the least id.
 
-    `shapes` are edge rows. The radius grows round by round. A hit is final because every edge
-    within the radius was seen; the points left over go on, until all are answered or the radius
-    spans all data.
+    `shapes` are edge rows; equal edges are merged first. There is no distance limit. Points without a
+    position, and points whose keys have no shape, are not returned.
     """
     keys = keys or []
-    span = extent(points, point_xy, shapes)
-    if span is None:
+    # read three times: for the size of the grid, for its cells, and for the exact distances
+    merged = checkpointed(shapes.groupBy(*keys, *EDGE).agg(F.min(shape_id).alias(shape_id)))
+    grown = pyramid.build(merged, shape_id=shape_id, keys=keys)
+    if grown is None:
         kind = shapes.schema[shape_id].dataType
         return points.select(*keys, *point_id).limit(0).select(
             *keys,
@@ -247,29 +247,7 @@ def nearest_shape(
             F.lit(None).cast(kind).alias(shape_id),
             F.lit(None).cast("double").alias("distance_m"),
         )
-    remaining = points.where(F.col(point_xy[0]).isNotNull() & F.col(point_xy[1]).isNotNull())
-    answered: list[DataFrame] = []
-    radius = float(start_radius)
-    while True:
-        pairs = near_pairs(
-            remaining, shapes, radius=radius, point_xy=point_xy, keys=keys, pairs_per_task=pairs_per_task
-        )
-        best = checkpointed(
-            pairs.groupBy(*keys, *point_id)
-            .agg(F.min(F.struct("distance_m", shape_id)).alias("_best"))
-            .select(*keys, *point_id, f"_best.{shape_id}", "_best.distance_m")
-        )
-        answered.append(best)
-        if radius >= span:
-            break
-        remaining = checkpointed(remaining.join(best, [*keys, *point_id], "left_anti"))
-        if remaining.isEmpty():
-            break
-        radius = min(radius * growth, max(span, radius))
-    out = answered[0]
-    for part in answered[1:]:
-        out = out.unionByName(part)
-    return out
+    return pyramid.nearest(points.select(*keys, *point_id, *point_xy), grown, point_id=point_id, point_xy=point_xy)
 
 
 def nearest_in_time(
@@ -280,29 +258,32 @@ def nearest_in_time(
     right_time: str,
     tolerance_s: int,
     keys: list[str] | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Left rows with the right row nearest in time, if within tolerance; ties go to the earlier.
 
     Each right row owns the moments closer to it than to its neighbours. That span is cut to the
     tolerance and laid out in time buckets, so a left row meets at most one right row and is
-    itself never repeated. Right rows must be unique per key and moment.
+    itself never repeated. A timeline of any length is ordered in chunks that carry their
+    neighbours. Two right rows of equal key and moment are an error, since neither is nearer.
     """
     keys = keys or []
     reach = tolerance_s * 1_000_000
     width = 2 * reach
-    # A station reports at a fixed rate, so its timeline is bounded; no key means one station.
-    line = Window.partitionBy(*keys).orderBy("_at")
+    timed = right.withColumn("_at", micros(F.col(right_time))).where("_at is not null")
+    line = arrange(timed, keys, ["_at"], group_rows=group_rows).lag(_prev=F.col("_at")).done()
+    back = line.withColumn("_neg", -F.col("_at"))
+    line = arrange(back, keys, ["_neg"], group_rows=group_rows, measure=timed).lag(_next=F.col("_at")).done()
+    twice = F.raise_error(F.concat(F.lit("two rows of one moment: "), F.col(right_time).cast("string"))).cast("bigint")
     owned = (
-        right.withColumn("_at", micros(F.col(right_time)))
-        .withColumn("_prev", F.lag("_at").over(line))
-        .withColumn("_next", F.lead("_at").over(line))
+        line.withColumn("_prev", F.when(F.col("_prev") == F.col("_at"), twice).otherwise(F.col("_prev")))
         .withColumn("_near", F.greatest(F.col("_at") - reach, F.col("_at") - F.floor((F.col("_at") - F.col("_prev") - 1) / 2)))
         .withColumn("_far", F.least(F.col("_at") + reach, F.col("_at") + F.floor((F.col("_next") - F.col("_at")) / 2)))
         .withColumn(
             "_slot",
             F.explode(F.sequence(F.floor(F.col("_near") / width), F.floor(F.col("_far") / width))),
         )
-        .drop("_at", "_prev", "_next")
+        .drop("_at", "_prev", "_next", "_neg")
     )
     probed = left.withColumn("_m", micros(F.col(left_time))).withColumn(
         "_slot", F.floor(F.col("_m") / width)

@@ -35,7 +35,8 @@ from point_rows""",
 select event_id, ts as timestamp,
        case event_type when 'purchase' then 'capture' when 'view' then 'sighting'
             when 'click' then 'roadkill_sighting' when 'signup' then 'search_start' else 'weather' end as event_type,
-       case event_id % 4 when 0 then 'ハブ' when 1 then 'アカマタ' when 2 then 'カエル' else 'ネズミ' end as species,
+       case event_id % 12 when 2 then 'カエル' when 6 then 'オットンガエル' when 10 then 'カエル' when 3 then 'ネズミ'
+            when 7 then 'ヤマシギ' when 11 then 'クロウサギ' else case event_id % 4 when 0 then 'ハブ' else 'アカマタ' end end as species,
        event_id % 3 + 1 as individual_count,
        case when event_id % 7 = 0 then null else 28.12  + cast((event_id * 7919)   % 1000 as double) / 10000 end as lat,
        case when event_id % 7 = 0 then null else 129.27 + cast((event_id * 104729) % 1000 as double) / 10000 end as lon,
@@ -46,10 +47,18 @@ select event_id, ts as timestamp,
        concat('seg_', (event_id * 31) % 3) as segment_id,
        props as raw_text
 from events""",
+    # three stations; the last one reports every third hour only, for all that happened in between
     "weather_hourly": """
-select 'st0' as station, cast(date_trunc('hour', ts) as timestamp) as timestamp,
-       cast(count(*) % 4 as double) as precip_mm, cast(count(*) as double) as temperature_c
-from events where extract(hour from ts) % 3 <> 1 group by date_trunc('hour', ts)""",
+select station, cast(hour as timestamp) as timestamp,
+       case when count(*) % 5 = 0 then null else cast(count(*) % 4 as double) end as precip_mm,
+       cast(count(*) as double) as temperature_c
+from (select concat('st', user_id % 3) as station,
+             date_trunc('hour', ts) - case when user_id % 3 = 2 then extract(hour from ts) % 3 else 0 end * interval '1' hour as hour
+      from events) group by station, hour""",
+    "stations": """
+select distinct concat('st', s_nationkey % 3) as station,
+       cast(500 + s_nationkey % 3 * 3000 as double) as x_m, cast(400 + s_nationkey % 3 * 2000 as double) as y_m
+from supplier""",
     "road_lines": """
 select concat('P', p_partkey) as way_id,
        cast((p_partkey * 37) % 12007 as double) as x0, cast((p_partkey * 61) % 12007 as double) as y0,
@@ -57,11 +66,15 @@ select concat('P', p_partkey) as way_id,
        cast((p_partkey * 61) % 12007 + (p_size % 7) * 40 as double) as y1,
        p_type as highway
 from part""",
+    # points, lines, and rectangles of which every second one has a hole of half its size
     "context": """
 select s_suppkey as feature_id,
        case s_nationkey % 5 when 0 then 'stream' when 1 then 'coast' when 2 then 'forest'
             when 3 then 'farmland' else 'residential' end as context_class,
-       cast((s_suppkey * 97) % 12007 as double) as cx, cast((s_suppkey * 193) % 12007 as double) as cy
+       cast((s_suppkey * 97) % 12007 as double) as cx, cast((s_suppkey * 193) % 12007 as double) as cy,
+       case when s_nationkey % 5 >= 2 then cast(60 + s_suppkey % 9 * 70 as double) end as half_w,
+       case when s_nationkey % 5 >= 2 then cast(50 + s_suppkey % 7 * 90 as double) end as half_h,
+       s_suppkey % 2 = 0 as has_hole
 from supplier""",
     "route_intervals": f"""
 select event_id as pair_no, cast({_NIGHT_DAY} as string) as operational_date_0700,
@@ -75,7 +88,7 @@ select event_id, ts as timestamp,
        case when value > 70 then null else concat('seg_', (event_id * 31) % 3) end as segment_id,
        cast(event_id % 40 as double) as match_distance_m,
        value < 80 as strict_temporal_route_verified
-from events where event_type in ('signup', 'view')""",
+from events""",
     "population_conflicts": f"""
 select distinct cast({_NIGHT_DAY} as string) as operational_date_0700,
        case extract(day from ts - interval '7' hour) % 4 when 0 then 'SOURCE_CONFLICT'

@@ -25,16 +25,19 @@ def visit_features(
     p: Params = DEFAULTS,
     *,
     measure: DataFrame | None = None,
+    assigned: DataFrame | None = None,
 ) -> DataFrame:
     """Visits with terrain, weather, outcome and exposure columns.
 
+    `assigned` names each segment's weather station where there are several.
+
     `measure` is the point table the visits come from: its groups bound those of the visits.
     """
     by_session = None if measure is None else measure.select("session_file")
     by_segment = None if measure is None else measure.select("segment_id")
     sloped = ft.slope_relief(visits, measure=by_session)
-    report = we.hours_since_rain(we.rolling_rain(weather)).drop("station")
-    with_weather = we.join_weather(sloped, report, p=p).drop("timestamp")
+    report = we.hours_since_rain(we.rolling_rain(weather))
+    with_weather = we.join_weather(sloped, report, p=p, assigned=assigned).drop("timestamp")
     labelled = evt.label_outcomes(with_weather, events, visit_id=VISIT_KEY, p=p)
     return ft.exposure_features(labelled, measure=by_segment)
 
@@ -48,6 +51,7 @@ def learning_table(
     context_classes: tuple[str, ...] = (),
     p: Params = DEFAULTS,
     rules: RecoveryRules = RecoveryRules(),
+    stations: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of one run: segments, matched points, visits, events and learning rows.
 
@@ -62,7 +66,8 @@ def learning_table(
     matched = checkpointed(tr.session_gate(mm.map_match(tracked, segments, p), p))
     visits = tr.segment_visits(matched)
     placed = mm.event_nearest_road(events, segments, p=p)
-    learning = visit_features(visits, weather, placed, p, measure=matched)
+    assigned = None if stations is None else we.nearest_stations(segments, stations)
+    learning = visit_features(visits, weather, placed, p, measure=matched, assigned=assigned)
     learning = ft.static_join(
         learning,
         segments,

@@ -6,18 +6,20 @@ import uuid
 from dataclasses import replace
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import with_degrees
 from ..functions.timeops import night_key
 from ..operators import events as evt
 from ..operators import model as md
+from ..operators import weather as we
 from ..operators.recovery import RecoveryRules, recover_roads
 from ..params import Params
 from ..session import scratch_folder
 from ..sources import ingest, sinks
 from . import nightly
-from .queries_geo import VISIT_TABLES, context_points, located_points, parts
+from .queries_geo import CONTEXT_CLASSES, VISIT_TABLES, context_lines, located_points, parts, segment_places
 from .queries_tracks import FIELDS_SQL, NIGHT_SQL, visits
 from .registry import Tables, query, rounded
 
@@ -168,7 +170,10 @@ def _(t: Tables):
 
 @query(
     "src_context",
-    """select context_class, round(129.2 + cx / 100000, 6) as lon, round(28.1 + cy / 100000, 6) as lat from context""",
+    """select context_class, half_w is not null as area, cast(case when half_w is null then null else i end as bigint) as ring,
+              round(129.2 + (cx - coalesce(half_w, 0) * share) / 100000, 6) as lon, round(28.1 + (cy - coalesce(half_h, 0) * share) / 100000, 6) as lat,
+              cast(case when half_w is not null then 5 when context_class = 'stream' then 2 else 1 end as bigint) as vertices
+       from context, (values (0, 1.0::double), (1, 0.5::double)) as s(i, share) where i = 0 or (half_w is not null and has_hole)""",
 )
 def _(t: Tables):
     tag = {
@@ -186,17 +191,33 @@ def _(t: Tables):
                 chain = F.when(F.col("context_class") == name, v).otherwise(chain)
         return chain.alias(key)
 
-    geometry = sinks.point_geometry(
-        F.lit(129.2) + F.col("cx") / 100000, F.lit(28.1) + F.col("cy") / 100000
+    # the geometry is written as the files have it: points, lines, and polygons with their holes
+    degrees = F.transform(
+        "line", lambda c: F.array(F.lit(129.2) + c["x"] / 100000, F.lit(28.1) + c["y"] / 100000)
     )
-    features = sinks.geojson_features(
-        t.context.withColumns({k: property_of(k) for k in ("waterway", "natural", "landuse")}),
-        geometry,
-        ["waterway", "natural", "landuse"],
+    lines = context_lines(t).withColumn("c", degrees)
+    shape = F.array_sort(F.collect_list(F.struct((-F.size("c")).alias("n"), F.col("c")[0][0].alias("west"), "c")))
+    whole = lines.groupBy("feature_id", "context_class", "area_id").agg(F.transform(shape, lambda r: r["c"]).alias("rings"))
+    kind = F.when(F.col("area_id").isNotNull(), "Polygon").when(F.col("context_class") == "stream", "LineString").otherwise("Point")
+    raw = (
+        F.when(kind == "Polygon", F.to_json("rings"))
+        .when(kind == "LineString", F.to_json(F.col("rings")[0]))
+        .otherwise(F.to_json(F.col("rings")[0][0]))
     )
-    parsed = ingest.context_features(ingest.parse_features(features))
-    return with_degrees(parsed, "x0", "y0").select(
-        "context_class", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")
+    geometry = F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), raw, F.lit("}"))
+    tags = F.to_json(F.struct("feature_id", *[property_of(k) for k in ("waterway", "natural", "landuse")]))
+    text = F.concat(F.lit('{"type":"Feature","properties":'), tags, F.lit(',"geometry":'), geometry, F.lit("}"))
+    parsed = ingest.context_features(ingest.parse_features(whole.select(text.alias("value"))))
+    # holes of one area are told by their order from the west
+    by_area = Window.partitionBy("area_id").orderBy("x0")
+    ring = F.when(F.col("area_id").isNotNull(), F.row_number().over(by_area) - 1).cast("bigint")
+    return with_degrees(parsed.withColumn("ring", ring), "line[0].x", "line[0].y").select(
+        "context_class",
+        F.col("area_id").isNotNull().alias("area"),
+        "ring",
+        F.round("lon", 6).alias("lon"),
+        F.round("lat", 6).alias("lat"),
+        F.size("line").cast("bigint").alias("vertices"),
     )
 
 
@@ -240,17 +261,15 @@ def _(t: Tables):
 @query(
     "inventory_by_hash",
     """select m.sha256, m.operational_night, f.file is not null as found, f.file
-       from (select distinct sha256(text) as sha256, lang as operational_night from documents where source = (select min(source) from documents)
+       from (select distinct sha256(text) as sha256, lang as operational_night from documents
              union select distinct sha256(text), role from conversations) m
        left join (select sha256(text) as sha256, max(cast(doc_id as varchar)) as file from documents group by 1) f using (sha256)""",
 )
 def _(t: Tables):
     files = t.documents.select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
-    first_source = t.documents.agg(F.min("source")).scalar()
     hashed = F.sha2(F.col("text").cast("binary"), 256).alias("sha256")
     manifest = (
-        t.documents.where(F.col("source") == first_source)
-        .select(hashed, F.col("lang").alias("operational_night"))
+        t.documents.select(hashed, F.col("lang").alias("operational_night"))
         .union(t.conversations.select(hashed, F.col("role")))
         .distinct()
     )
@@ -327,7 +346,10 @@ MODEL = Params(
 
 
 def _learning(t: Tables):
-    return nightly.visit_features(visits(t), t.weather_hourly, t.field_events, MODEL, measure=t.point_rows)
+    assigned = we.nearest_stations(segment_places(t), t.stations)
+    return nightly.visit_features(
+        visits(t), t.weather_hourly, t.field_events, MODEL, measure=t.point_rows, assigned=assigned
+    )
 
 
 @query("visit_features")
@@ -355,17 +377,16 @@ def _(t: Tables):
 
 @query("learning_table")
 def _(t: Tables):
-    p = replace(MODEL, min_match_ratio=0.02, bio_windows_min=(360,), bio_distances_m=(500.0, 1000.0))
+    p = replace(MODEL, min_match_ratio=0.02, bio_windows_min=(30, 60, 120, 360), bio_distances_m=(100.0, 250.0, 500.0, 1000.0))
     events = t.field_events.drop("segment_id")
     tables = nightly.learning_table(
         t.points.drop("segment_id", "match_distance_m"),
         parts(t).withColumn("name", F.lit(None).cast("string")),
         events,
         t.weather_hourly,
-        context_points(t),
-        ("stream", "forest"),
+        context_lines(t),
+        CONTEXT_CLASSES,
         p,
-        # points are kilometres apart here, so only a very long stretch could pass for a road
-        RecoveryRules(min_points=1000),
+        stations=t.stations,
     )
     return tables["learning"]

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import polyline as pl
 from ..operators import features as ft
+from ..operators.areas import inside_areas
+from ..operators.joins import edge_rows
 from ..operators import mapmatch as mm
 from ..operators import roads as rd
 from ..operators import weather as we
 from ..operators.tracks import track_dynamics
+from ..params import BIO_SPECIES
+from ..session import checkpointed
 
 from .queries_tracks import DYNAMICS_SQL, VISITS_SQL, visits
 from .registry import Tables, query, rounded
@@ -212,17 +216,28 @@ ALONG = """case when x1 = x0 and y1 = y0 then 0.0 else least(1.0, greatest(0.0,
              ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) end"""
 
 
+# whole roads first, then the ten-metre pieces of those as near as the nearest one
 @query(
     "event_nearest_road",
     f"""select event_id, case when b.d <= 50 then b.id end as segment_id, round(b.d, 6) as event_match_distance_m,
                case when b.d <= 50 then '' else 'nearest road exceeds the match limit' end as unmatched_reason
-        from (select event_id, min(struct_pack(d := {EDGE_DISTANCE}, id := way_id)) as b
-              from (select *, {ALONG} as t from (select event_id, x_m as px, y_m as py from field_events where x_m is not null) e, road_lines)
+        from (select event_id, min(struct_pack(d := {EDGE_DISTANCE}, id := segment_id)) as b
+              from (select *, {ALONG} as t
+                    from (select event_id, px, py, p.segment_id, p.sx as x0, p.sy as y0, p.ex as x1, p.ey as y1
+                          from near_roads n join pieces p using (way_id)))
               group by event_id)""",
+    ("pieces", PIECES_SQL),
+    (
+        "near_roads",
+        f"""select event_id, px, py, way_id from (
+              select event_id, px, py, way_id, {EDGE_DISTANCE} as d, min({EDGE_DISTANCE}) over (partition by event_id) as least_d
+              from (select *, {ALONG} as t from (select event_id, x_m as px, y_m as py from field_events where x_m is not null) e,
+                           (select * from road_lines where x0 <> x1 or y0 <> y1) r))
+            where d <= least_d + 1e-6""",
+    ),
 )
 def _(t: Tables):
-    roads = parts(t).withColumnRenamed("way_id", "segment_id")
-    out = mm.event_nearest_road(t.field_events, roads).select(
+    out = mm.event_nearest_road(t.field_events, segments(t)).select(
         "event_id", "segment_id", "event_match_distance_m", "unmatched_reason"
     )
     return rounded(out, "event_match_distance_m")
@@ -261,18 +276,53 @@ def _(t: Tables):
     return rounded(out, "hours_since_rain")
 
 
+# The track points name three segments; they lie where the first three roads do.
+SEGMENT_PLACES_SQL = """
+select 'seg_' || (cast(substr(way_id, 2) as bigint) - 1) as segment_id, (x0 + x1) / 2 as segment_x_m, (y0 + y1) / 2 as segment_y_m
+from road_lines where way_id in ('P1', 'P2', 'P3')"""
+ASSIGNED_SQL = """
+select segment_id, arg_min(station, struct_pack(
+         d := sqrt((x_m - segment_x_m) * (x_m - segment_x_m) + (y_m - segment_y_m) * (y_m - segment_y_m)), s := station)) as station,
+       min(sqrt((x_m - segment_x_m) * (x_m - segment_x_m) + (y_m - segment_y_m) * (y_m - segment_y_m))) as station_distance_m
+from segment_places, stations group by 1"""
+STATION_TABLES = (("segment_places", SEGMENT_PLACES_SQL), ("assigned", ASSIGNED_SQL))
+
+
+def segment_places(t: Tables):
+    number = F.substring("way_id", 2, 20).cast("bigint") - 1
+    return t.road_lines.where(F.col("way_id").isin("P1", "P2", "P3")).select(
+        F.concat(F.lit("seg_"), number.cast("string")).alias("segment_id"),
+        ((F.col("x0") + F.col("x1")) / 2).alias("segment_x_m"),
+        ((F.col("y0") + F.col("y1")) / 2).alias("segment_y_m"),
+    )
+
+
+@query(
+    "nearest_stations",
+    """select segment_id, s.station, round(s.d, 6) as station_distance_m from (
+         select p.segment_id, min(struct_pack(
+                d := sqrt((x_m - (sx + ex) / 2) * (x_m - (sx + ex) / 2) + (y_m - (sy + ey) / 2) * (y_m - (sy + ey) / 2)), station := station)) as s
+         from pieces p, stations group by 1)""",
+    ("pieces", PIECES_SQL),
+)
+def _(t: Tables):
+    return rounded(we.nearest_stations(checkpointed(segments(t)), t.stations), "station_distance_m")
+
+
 @query(
     "asof_weather",
-    """select session_file, visit_index, w.timestamp as weather_at, w.temperature_c
-       from visits v left join lateral (
+    """select session_file, visit_index, a.station, w.timestamp as weather_at, w.temperature_c
+       from visits v left join assigned a using (segment_id) left join lateral (
          select * from weather_hourly w
-         where abs(date_diff('microsecond', w.timestamp, v.entered_at)) <= 2400000000
+         where w.station = a.station and abs(date_diff('microsecond', w.timestamp, v.entered_at)) <= 2400000000
          order by abs(date_diff('microsecond', w.timestamp, v.entered_at)), w.timestamp limit 1) w on true""",
     *VISIT_TABLES,
+    *STATION_TABLES,
 )
 def _(t: Tables):
-    return we.join_weather(visits(t), t.weather_hourly).select(
-        *VISIT_KEY, F.col("timestamp").alias("weather_at"), "temperature_c"
+    assigned = we.nearest_stations(segment_places(t), t.stations)
+    return we.join_weather(visits(t), t.weather_hourly, assigned=assigned).select(
+        *VISIT_KEY, "station", F.col("timestamp").alias("weather_at"), "temperature_c"
     )
 
 
@@ -311,31 +361,77 @@ def _(t: Tables):
 CONTEXT_CLASSES = ("stream", "coast", "forest", "farmland", "residential")
 
 
-def context_points(t: Tables):
-    here = F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))
-    return t.context.select(
-        "feature_id",
-        "context_class",
-        F.array(here).alias("line"),
+def context_lines(t: Tables):
+    """Points, lines and rings of the context table as rows of lines."""
+    x, y, w, h = (F.col(c) for c in ("cx", "cy", "half_w", "half_h"))
+
+    def at(dx, dy):
+        return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+
+    def ring(share: float):
+        corners = ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
+        return F.array(*[at(i * w * share, j * h * share) for i, j in corners])
+
+    area = F.when(w.isNotNull(), F.col("feature_id"))
+    lines = (
+        F.when(w.isNotNull() & F.col("has_hole"), F.array(ring(1.0), ring(0.5)))
+        .when(w.isNotNull(), F.array(ring(1.0)))
+        .when(F.col("context_class") == "stream", F.array(F.array(at(F.lit(0.0), F.lit(0.0)), at(F.lit(120.0), F.lit(-60.0)))))
+        .otherwise(F.array(F.array(at(F.lit(0.0), F.lit(0.0)))))
     )
+    return t.context.select("feature_id", "context_class", area.alias("area_id"), F.explode(lines).alias("line"))
+
+
+CONTEXT_EDGES_SQL = """
+select feature_id, context_class, false as area, cx as x0, cy as y0,
+       case when context_class = 'stream' then cx + 120.0 else cx end as x1, case when context_class = 'stream' then cy - 60.0 else cy end as y1
+from context where half_w is null
+union all
+select feature_id, context_class, true, cx + i0 * half_w * share, cy + j0 * half_h * share, cx + i1 * half_w * share, cy + j1 * half_h * share
+from context, (values (-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)) as e(i0, j0, i1, j1), (values (1.0::double), (0.5::double)) as s(share)
+where half_w is not null and (share = 1.0 or has_hole)"""
 
 
 @query(
     "nearest_context",
     "select segment_id, "
     + ", ".join(f"round(min(d) filter (where context_class = '{c}'), 5) as {c}_distance_m" for c in CONTEXT_CLASSES)
-    + """ from (select segment_id, context_class, sqrt((cx - (x0 + x1) / 2) * (cx - (x0 + x1) / 2) + (cy - (y0 + y1) / 2) * (cy - (y0 + y1) / 2)) as d
-                from (select way_id as segment_id, * from road_lines), context) group by 1""",
+    + f""" from (select segment_id, context_class, feature_id, case when sum(crossed) % 2 = 1 then 0.0 else min({EDGE_DISTANCE}) end as d
+                from (select *, {ALONG} as t,
+                             case when area and (y0 > py) <> (y1 > py) and px < (x1 - x0) * (py - y0) / (y1 - y0) + x0 then 1 else 0 end as crossed
+                      from (select segment_id, (sx + ex) / 2 as px, (sy + ey) / 2 as py from pieces) p, context_edges)
+                group by all) group by 1""".replace("group by all", "group by segment_id, context_class, feature_id"),
+    ("pieces", PIECES_SQL),
+    ("context_edges", CONTEXT_EDGES_SQL),
 )
 def _(t: Tables):
-    roads = rd.describe_segments(parts(t).withColumnRenamed("way_id", "segment_id"))
-    out = ft.nearest_context(roads, context_points(t), classes=CONTEXT_CLASSES, start_radius=250.0)
+    out = ft.nearest_context(segments(t), context_lines(t), classes=CONTEXT_CLASSES)
     return rounded(out, *[f"{c}_distance_m" for c in CONTEXT_CLASSES], digits=5)
 
 
-BIO = ("カエル", "ネズミ")
-BIO_WINDOWS = (120, 360)
-BIO_DISTANCES = (500.0, 1000.0)
+@query(
+    "context_areas",
+    """select segment_id, context_class, feature_id from (
+         select segment_id, context_class, feature_id,
+                sum(case when (y0 > py) <> (y1 > py) and px < (x1 - x0) * (py - y0) / (y1 - y0) + x0 then 1 else 0 end) as n
+         from (select segment_id, (sx + ex) / 2 as px, (sy + ey) / 2 as py from pieces) p, (select * from context_edges where area) group by 1, 2, 3)
+       where n % 2 = 1""",
+    ("pieces", PIECES_SQL),
+    ("context_edges", CONTEXT_EDGES_SQL),
+)
+def _(t: Tables):
+    rings = edge_rows(context_lines(t).where("area_id is not null"))
+    found = inside_areas(
+        checkpointed(segments(t)), rings, point_id=["segment_id"], area_id=["context_class", "area_id"], point_xy=("segment_x_m", "segment_y_m")
+    )
+    return found.withColumnRenamed("area_id", "feature_id")
+
+
+# Every species; windows and distances are wider than in the field, as the given events are sparse.
+BIO = BIO_SPECIES
+BIO_WINDOWS = (30, 60, 120, 360)
+BIO_DISTANCES = (100.0, 250.0, 500.0, 1000.0)
+BIO_NAMES = ", ".join(f"'{s}'" for s in BIO)
 
 # Every matched point counts as a visit of its own place here.
 PLACED_SQL = """
@@ -369,7 +465,7 @@ def bio_sql() -> str:
 select visit_id, {', '.join(columns)} from (
   select v.visit_id, e.species, e.individual_count, date_diff('microsecond', e.timestamp, v.entered_at) / 1e6 as age,
          sqrt((e.x_m - segment_x_m) * (e.x_m - segment_x_m) + (e.y_m - segment_y_m) * (e.y_m - segment_y_m)) as d
-  from placed v left join (select * from field_events where x_m is not null and species in ('カエル', 'ネズミ')) e
+  from placed v left join (select * from field_events where x_m is not null and species in ({BIO_NAMES})) e
     on e.timestamp between v.entered_at - interval '360' minute and v.entered_at) group by visit_id"""
 
 

@@ -101,34 +101,42 @@ def prepare_gps_history(raw: DataFrame, order: tuple[str, ...] = (), *, group_ro
 
 # --- roads and context -----------------------------------------------------------------
 
+GEOMETRY = "type:string,coordinates:string"
 FEATURE_SCHEMA = (
-    "struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+    "struct<id:string,properties:map<string,string>,"
+    f"geometry:struct<{GEOMETRY},geometries:array<struct<{GEOMETRY}>>>>"
 )
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON features, one row each, from a collection or from one feature per line.
 
-    The layout is told per file. Files that keep every feature on its own line, as map exports do,
-    are read line by line and split across tasks; any other file is one document of one task. A
-    document that is neither a collection nor a feature is an error, so no feature is lost.
+    The layout is told per file, by parsing. Files whose lines with the word Feature are all whole
+    features, as map exports write them, are read line by line and split across tasks; any other file
+    is one document of one task. A text may hold several values with commas between them; one that is
+    not whole, or holds anything but features and collections, is an error, so no feature is lost.
     """
     lines = spark.read.text(path).where(F.col("value").contains('"Feature"'))
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
-    alone = (F.regexp_count("value", F.lit('"Feature"')) == 1) & F.coalesce(_is_feature("value"), F.lit(False))
+    alone = _complete("value") & F.forall(_values("value", "type:string"), lambda v: v["type"] == "Feature")
     # the driver lists these files anyway to plan the scan
-    whole = [r["file"] for r in lines.where(~alone).select("file").distinct().toLocalIterator()]
+    whole = [r["file"] for r in lines.where(~F.coalesce(alone, F.lit(False))).select("file").distinct().toLocalIterator()]
+    fields = FEATURE_SCHEMA.removeprefix("struct<").removesuffix(">")
+    single = lines.where(~F.col("file").isin(whole)).select(F.explode(_values("value", fields)).alias("f")).select("f.*")
     if not whole:
-        return parse_features(lines)
+        return single
     documents = spark.read.text([unquote(f) for f in whole], wholetext=True)
-    shape = f"struct<features:array<{FEATURE_SCHEMA}>>"
-    features = F.coalesce(
-        F.from_json(_json_body("value"), shape)["features"],
-        F.when(_is_feature("value"), F.array(F.from_json(_json_body("value"), FEATURE_SCHEMA))),
-        F.raise_error(F.concat(F.lit("neither a feature nor a collection: "), F.col("_metadata.file_path"))),
+    values = _values("value", f"type:string,features:array<{FEATURE_SCHEMA}>,{fields}")
+    known = _complete("value") & F.forall(values, lambda v: v["type"].isin("Feature", "FeatureCollection"))
+    features = F.flatten(
+        F.transform(
+            values,
+            lambda v: F.when(v["type"] == "Feature", F.array(F.struct(*[v[n].alias(n) for n in ("id", "properties", "geometry")]))).otherwise(v["features"]),
+        )
     )
-    collected = documents.select(F.explode(features).alias("f")).select("f.*")
-    return parse_features(lines.where(~F.col("file").isin(whole))).unionByName(collected)
+    lost = F.raise_error(F.concat(F.lit("neither features nor a collection, or not whole: "), F.col("_metadata.file_path")))
+    collected = documents.select(F.explode(F.when(F.coalesce(known, F.lit(False)), features).otherwise(lost)).alias("f"))
+    return single.unionByName(collected.select("f.*"))
 
 
 def _json_body(column: str) -> Column:
@@ -136,9 +144,17 @@ def _json_body(column: str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.col(column), "^[\ufeff\x1e\\s]+", ""), r",\s*$", "")
 
 
-def _is_feature(column: str) -> Column:
-    parsed = F.try_parse_json(_json_body(column))
-    return F.try_variant_get(parsed, "$.type", "string") == "Feature"
+def _listed(column: str) -> Column:
+    """The text as one array: what parses so is whole, with nothing but commas between its values."""
+    return F.concat(F.lit("["), _json_body(column), F.lit("]"))
+
+
+def _complete(column: str) -> Column:
+    return F.try_parse_json(_listed(column)).isNotNull()
+
+
+def _values(column: str, fields: str) -> Column:
+    return F.from_json(_listed(column), f"array<struct<{fields}>>")
 
 
 def parse_features(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -181,9 +197,11 @@ def road_parts(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def context_features(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Land-context features with their class: `feature_id, context_class, line, x0..y1`.
+    """Land-context features with their class: `feature_id, context_class, area_id, line, x0..y1`.
 
-    Polygons count by their outlines; a feature of several classes appears once per class.
+    One row per point, line or ring; the rings of one polygon share an `area_id`, which is null
+    elsewhere. A feature of several classes appears once per class; a collection of geometries
+    counts as its members. Other geometry types are an error, a feature without geometry has no row.
     """
     tags = F.col("properties")
     water, nature, land = (F.coalesce(tags[k], F.lit("")) for k in ("waterway", "natural", "landuse"))
@@ -196,23 +214,40 @@ def context_features(features: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             F.when(land == "residential", F.lit("residential")),
         )
     )
-    kind, raw = F.col("geometry.type"), F.col("geometry.coordinates")
-    rings = F.from_json(raw, "array<array<array<double>>>")
-    outlines = (
-        F.when(kind == "Point", F.array(F.array(F.from_json(raw, "array<double>"))))
-        .when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>")))
-        .when(kind.isin("MultiLineString", "Polygon"), rings)
-        .when(kind == "MultiPolygon", F.flatten(F.from_json(raw, "array<array<array<array<double>>>>")))
+    collection = F.col("geometry.type") == "GeometryCollection"
+    own = F.array(F.struct("geometry.type", "geometry.coordinates"))
+    members = F.when(collection, F.col("geometry.geometries")).when(F.col("geometry.type").isNotNull(), own)
+    kind, raw = F.col("_g.type"), F.col("_g.coordinates")
+
+    def as_lines(lines: Column, area: bool = False) -> Column:
+        return F.struct(F.lit(area).alias("area"), lines.alias("lines"))
+
+    place, line, lines, areas = (F.from_json(raw, "array<" * n + "double" + ">" * n) for n in (1, 2, 3, 4))
+    parts = (
+        F.when(kind == "Point", F.array(as_lines(F.array(F.array(place)))))
+        .when(kind == "MultiPoint", F.array(as_lines(F.transform(line, lambda c: F.array(c)))))
+        .when(kind == "LineString", F.array(as_lines(F.array(line))))
+        .when(kind == "MultiLineString", F.array(as_lines(lines)))
+        .when(kind == "Polygon", F.array(as_lines(lines, True)))
+        .when(kind == "MultiPolygon", F.transform(areas, lambda rings: as_lines(rings, True)))
+        .otherwise(F.raise_error(F.concat(F.lit("geometry not known: "), F.coalesce(kind, F.lit("none")))))
     )
     placed = (
         features.withColumn("context_class", F.explode(classes))
-        .select("context_class", F.explode(outlines).alias("_c"))
+        .select(
+            "context_class",
+            F.xxhash64(F.to_json(F.struct("id", "properties", "geometry"))).alias("feature_id"),
+            F.explode(members).alias("_g"),
+        )
+        .select("context_class", "feature_id", F.explode(parts).alias("_p"))
+        .withColumn("area_id", F.when(F.col("_p.area"), F.xxhash64("feature_id", "_p.lines")))
+        .select("context_class", "feature_id", "area_id", F.explode("_p.lines").alias("_c"))
+        .where(F.size("_c") > 0)
         .withColumn("line", _plane_line("_c", p))
         .drop("_c")
-        .withColumn("feature_id", F.xxhash64("context_class", "line"))
         .withColumns({name: F.expr(text) for name, text in bounds("line").items()})
     )
-    return placed.select("feature_id", "context_class", "line", "x0", "y0", "x1", "y1")
+    return placed.select("feature_id", "context_class", "area_id", "line", "x0", "y0", "x1", "y1")
 
 
 # --- field logs ------------------------------------------------------------------------

@@ -60,16 +60,85 @@ def test_roads_in_any_layout(spark, tmp_path, layout):
 
 
 def test_context_classes(spark, tmp_path):
-    ring = [[[129.3, 28.1], [129.31, 28.1], [129.31, 28.11], [129.3, 28.1]]]
+    ring = [[129.3, 28.1], [129.31, 28.1], [129.31, 28.11], [129.3, 28.1]]
+    hole = [[129.305, 28.101], [129.306, 28.101], [129.306, 28.102], [129.305, 28.101]]
     features = [
         feature("LineString", [[129.3, 28.1], [129.31, 28.1]], waterway="river"),
-        feature("Polygon", ring, natural="wood", landuse="residential"),
+        feature("Polygon", [ring, hole], natural="wood", landuse="residential"),
         feature("Point", [129.3, 28.1], landuse="meadow"),
+        feature("Point", [129.3, 28.1], landuse="meadow", name="another feature at the same place"),
         feature("Point", [129.3, 28.1], shop="x"),
+        feature("MultiPoint", [[129.3, 28.1], [129.4, 28.1]], natural="coastline"),
+        feature("MultiPolygon", [[ring], [hole]], landuse="farmyard"),
+        {"type": "Feature", "properties": {"waterway": "weir"}, "geometry": None},
+        {
+            "type": "Feature",
+            "properties": {"natural": "coastline"},
+            "geometry": {
+                "type": "GeometryCollection",
+                "geometries": [{"type": "Point", "coordinates": [129.3, 28.1]}, {"type": "Polygon", "coordinates": [ring]}],
+            },
+        },
     ]
     (tmp_path / "c.geojson").write_text("\n".join(json.dumps(f) for f in features))
     out = ingest.context_features(ingest.read_features(spark, str(tmp_path)))
-    assert [r[0] for r in rows(out, "context_class")] == ["farmland", "forest", "residential", "stream"]
+    found = out.groupBy("context_class").agg(
+        F.count("*"), F.countDistinct("feature_id"), F.count("area_id"), F.countDistinct("area_id")
+    )
+    assert rows(found) == [
+        ("coast", 4, 2, 1, 1),
+        ("farmland", 4, 3, 2, 2),
+        ("forest", 2, 1, 2, 1),
+        ("residential", 2, 1, 2, 1),
+        ("stream", 1, 1, 0, 0),
+    ]
+    odd = [feature("Circle", [129.3, 28.1], landuse="meadow")]
+    (tmp_path / "c.geojson").write_text(json.dumps(odd[0]))
+    with pytest.raises(Exception, match="geometry not known"):
+        ingest.context_features(ingest.read_features(spark, str(tmp_path))).collect()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_no_feature_is_lost_to_its_values(spark, tmp_path, end):
+    features = [
+        feature("Point", [129.3, 28.1], role="Feature"),
+        feature("Point", [129.3, 28.2], note='says "Feature" twice'),
+        feature("Point", [129.3, 28.3]),
+    ]
+    (tmp_path / "lines.geojson").write_text(end.join(json.dumps(f) for f in features))
+    assert ingest.read_features(spark, str(tmp_path)).count() == 3
+    # several features on one line are all read; a line with anything behind them is an error
+    (tmp_path / "lines.geojson").write_text(",".join(json.dumps(f) for f in features))
+    assert ingest.read_features(spark, str(tmp_path)).count() == 3
+    for rest in (json.dumps(features[0]), '{"type": "Topology"}', "x"):
+        (tmp_path / "lines.geojson").write_text(json.dumps(features[2]) + " " + rest)
+        with pytest.raises(Exception, match="or not whole"):
+            ingest.read_features(spark, str(tmp_path)).collect()
+
+
+def test_areas_hold_segments(spark, tmp_path):
+    from surveyspark.functions.geodesy import with_plane
+    from surveyspark.operators import features as ft
+
+    def square(west, south, size):
+        return [[west, south], [west + size, south], [west + size, south + size], [west, south + size], [west, south]]
+
+    features = [
+        feature("Polygon", [square(129.30, 28.10, 0.02), square(129.305, 28.105, 0.005)], natural="wood"),
+        feature("MultiPolygon", [[square(129.40, 28.10, 0.01)], [square(129.42, 28.10, 0.01)]], landuse="residential"),
+        feature("LineString", [[129.3, 28.2], [129.4, 28.2]], waterway="river"),
+    ]
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    context = ingest.context_features(ingest.read_features(spark, str(tmp_path)))
+    places = [("in", 28.102, 129.302), ("hole", 28.107, 129.307), ("second", 28.105, 129.425), ("out", 28.15, 129.35)]
+    segments = with_plane(spark.createDataFrame(places, "segment_id string, lat double, lon double"))
+    segments = segments.withColumnsRenamed({"x_m": "segment_x_m", "y_m": "segment_y_m"})
+    out = ft.nearest_context(segments, context, classes=("forest", "residential", "stream", "coast")).collect()
+    got = {r["segment_id"]: r for r in out}
+    assert len(out) == 4 and all(r["coast_distance_m"] is None for r in out)
+    assert got["in"]["forest_distance_m"] == 0 and got["second"]["residential_distance_m"] == 0
+    assert 150 < got["hole"]["forest_distance_m"] < 250  # the way to the hole's edge
+    assert got["out"]["forest_distance_m"] > 3000 and got["out"]["stream_distance_m"] == pytest.approx(5541, abs=20)
 
 
 LOG = """2026/8/1 20:00
