@@ -41,11 +41,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df` with a number per row in a column of a free name; written once, so numbers stay."""
-    name = "_row"
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or it with underscores behind where `df` has such a column."""
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a number per row in a column of a free name; written once, so numbers stay."""
+    name = free_name(df, "_row")
     return written(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 

@@ -387,11 +387,22 @@ def _open_links(values: DataFrame, placed: DataFrame, proposed: DataFrame) -> Da
     return near.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5) -> DataFrame:
-    """`(doc_id, fps, component_id)` of every document, linked where five-word shingles have a similarity of 0.8 or more."""
-    made = per_text(id_and_text(df, id_col, text_col), "fps array<bigint>, text string", lambda t: (wide_fingerprint(t, words_per), t))
-    wide = written(made.withColumn("row", F.monotonically_increasing_id()), "wide")
-    texts = wide.select(F.col("row").alias("doc_id"), "text")
+def near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, numbered: bool = False
+) -> DataFrame:
+    """`(doc_id, fps, component_id)` of every document, linked where five-word shingles have a similarity of 0.8 or more.
+
+    With `numbered`, ids are known to be different longs that do not change when `df` is read again;
+    then texts are not written a second time.
+    """
+    given = id_and_text(df, id_col, text_col)
+    if numbered:
+        made = per_text(given, "fps array<bigint>", lambda t: (wide_fingerprint(t, words_per),))
+        wide, texts = written(made.withColumn("row", F.col("doc_id")), "wide"), given
+    else:
+        made = per_text(given, "fps array<bigint>, text string", lambda t: (wide_fingerprint(t, words_per), t))
+        wide = written(made.withColumn("row", F.monotonically_increasing_id()), "wide")
+        texts = wide.select(F.col("row").alias("doc_id"), "text")
     # texts with one whole fingerprint are one class, and its first row, the node, speaks for it
     classes = written(wide.groupBy("fps").agg(F.min("doc_id").alias("least_id"), F.min("row").alias("node")), "classes")
     values = classes.select("node", F.posexplode("fps").alias("part", "fp"))
