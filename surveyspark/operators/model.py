@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.schema import finite
 from ..functions.timeops import night_key
 from ..session import checkpointed
-from .ordered import aggregate_with_quantiles
+from .ordered import quantiles
 from .report import average_precision, brier
 
 # Fixed feature names; the wildlife columns found in the table are added to them.
@@ -99,22 +99,20 @@ def _preparation(terms: dict[str, str]) -> list:
 
 def _terms(train: DataFrame, features: list[str], group_rows: int | None) -> tuple[dict[str, str], int, int]:
     """Median filling, a flag per feature that has gaps, then zero mean and unit variance."""
-    first = aggregate_with_quantiles(
-        train,
-        [],
-        [
-            F.count(F.lit(1)).alias("_rows"),
-            F.sum("label").alias("_positives"),
-            *[F.count_if(F.col(c).isNull()).alias(f"_gaps_{i}") for i, c in enumerate(features)],
-        ],
-        {f"_median_{i}": (F.col(c), 0.5) for i, c in enumerate(features)},
-        group_rows=group_rows,
+    first = train.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("label").alias("_positives"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_gaps_{i}") for i, c in enumerate(features)],
     ).first()
+    # all features are ranked in one keyed pass over counted values, however many values they have
+    pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(features)])
+    long = train.select(F.explode(pairs).alias("_p")).select("_p.*")
+    ranked = quantiles(long, ["feature"], F.col("value"), {"median": 0.5}, group_rows=group_rows)
+    medians = {r["feature"]: r["median"] for r in ranked.collect()}
     raw: dict[str, str] = {}
     for i, c in enumerate(features):
-        if first[f"_median_{i}"] is None:
-            continue
-        raw[f"z_{i}"] = f"coalesce(`{c}`, {first[f'_median_{i}']!r}D)"
+        if medians.get(i) is not None:
+            raw[f"z_{i}"] = f"coalesce(`{c}`, {medians[i]!r}D)"
     for i, c in enumerate(features):
         if first[f"_gaps_{i}"] and f"z_{i}" in raw:
             raw[f"gap_{i}"] = f"cast(`{c}` IS NULL AS double)"

@@ -11,6 +11,7 @@ from ..operators import mapmatch as mm
 from ..operators import roads as rd
 from ..operators import tracks as tr
 from ..operators import weather as we
+from ..operators.contracts import RowGuard
 from ..operators.recovery import RecoveryRules, recover_roads
 from ..params import DEFAULTS, Params
 from ..session import checkpointed
@@ -55,8 +56,13 @@ def learning_table(
 ) -> dict[str, DataFrame]:
     """All tables of one run: segments, matched points, visits, events and learning rows.
 
-    Roads are recovered from ungated matches; only then are weak sessions taken out.
+    Roads are recovered from ungated matches; only then are weak sessions taken out. Copies of events
+    go first; a match that gives more events than went in is an error.
     """
+    guard = RowGuard()
+    if "event_signature" not in events.columns:
+        events = evt.dedupe_events(events, ["event_id"])
+    events = checkpointed(guard.watched(events, "events"))
     base = checkpointed(rd.road_segments(road_parts, p))
     tracked = tr.track_dynamics(points)
     first = checkpointed(mm.map_match(tracked, base, p))
@@ -65,7 +71,8 @@ def learning_table(
     segments = checkpointed(rd.combine_roads(base, supplemental))
     matched = checkpointed(tr.session_gate(mm.map_match(tracked, segments, p), p))
     visits = tr.segment_visits(matched)
-    placed = mm.event_nearest_road(events, segments, p=p)
+    placed = checkpointed(guard.watched(mm.event_nearest_road(events, segments, p=p), "matched events"))
+    guard.not_more("matched events", "events")
     assigned = None if stations is None else we.nearest_stations(segments, stations)
     learning = visit_features(visits, weather, placed, p, measure=matched, assigned=assigned)
     learning = ft.static_join(

@@ -281,15 +281,26 @@ def _(t: Tables):
 
 @query(
     "sink_roundtrip",
-    """select session_file, visit_index, segment_id, point_count, cast(cast(entered_at - interval '7' hour as date) as string) as night from visits""",
+    """select session_file, visit_index, segment_id, point_count, night,
+              row_number() over (partition by night order by entered_at, session_file, visit_index) - 1 as place
+       from (select *, cast(cast(entered_at - interval '7' hour as date) as string) as night from visits)""",
     *VISIT_TABLES,
 )
 def _(t: Tables):
     folder = f"{scratch_folder(t.spark)}/visits-{uuid.uuid4().hex}"
-    sinks.write_table(visits(t), folder, night_of="entered_at")
-    back = t.spark.read.parquet(folder)
+    sinks.write_table(
+        visits(t), folder, night_of="entered_at", order=["entered_at", "session_file", "visit_index"], file_rows=2000
+    )
+    back = t.spark.read.parquet(folder).select("*", "_metadata.file_name", "_metadata.row_index")
+    # the place of a row as it was written, not as its values say
+    written = Window.partitionBy("night").orderBy("file_name", "row_index")
     return back.select(
-        "session_file", "visit_index", "segment_id", "point_count", F.col("night").cast("string").alias("night")
+        "session_file",
+        "visit_index",
+        "segment_id",
+        "point_count",
+        F.col("night").cast("string").alias("night"),
+        (F.row_number().over(written) - 1).cast("bigint").alias("place"),
     )
 
 

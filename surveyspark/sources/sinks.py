@@ -10,13 +10,35 @@ from ..functions.timeops import night_key
 from ..params import DEFAULTS, Params
 
 
-def write_table(df: DataFrame, path: str, night_of: str | None = None, fmt: str = "parquet") -> None:
-    """Partitioned by night when a time column is named, so later reads prune."""
-    if night_of is None:
-        _writer(df, fmt).save(path)
-        return
-    nightly = df.withColumn("night", night_key(F.col(night_of)))
-    _writer(nightly, fmt).partitionBy("night").save(path)
+#: Rows of one written file, about.
+FILE_ROWS = 1_000_000
+
+
+def write_table(
+    df: DataFrame,
+    path: str,
+    night_of: str | None = None,
+    fmt: str = "parquet",
+    *,
+    order: list[str] | None = None,
+    file_rows: int = FILE_ROWS,
+) -> None:
+    """Writes a table in files of about `file_rows` rows, partitioned by night when a time column is named.
+
+    Rows are range-partitioned by (night, order), so a busy night is shared among tasks and quiet nights
+    share one; a night has as many files as its rows ask for, not one per task. With `order` the rows of a
+    night, or of the whole table, stand in that order by file name and place in the file.
+    """
+    order = order or []
+    nightly = df if night_of is None else df.withColumn("night", night_key(F.col(night_of)))
+    keys = ([] if night_of is None else ["night"]) + order
+    if keys:
+        parts = max(1, -(-nightly.count() // file_rows))
+        # without an order the time itself cuts a busy night
+        cuts = keys if order else [*keys, night_of]
+        nightly = nightly.repartitionByRange(parts, *cuts).sortWithinPartitions(*cuts)
+    writer = _writer(nightly, fmt).option("maxRecordsPerFile", 2 * file_rows)
+    (writer if night_of is None else writer.partitionBy("night")).save(path)
 
 
 def _writer(df: DataFrame, fmt: str):

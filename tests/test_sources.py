@@ -219,6 +219,45 @@ def test_tables_are_partitioned_by_night(spark, tmp_path, fmt):
     assert rows(back.groupBy("night").count().select(F.col("night").cast("string"), "count")) == [("2026-08-01", 2), ("2026-08-02", 1)]
 
 
+def test_written_order_and_file_sizes(spark, tmp_path):
+    import random
+
+    pick = random.Random(4)
+    df = spark.createDataFrame(
+        [(k, pick.randrange(900), at("2026-08-01 20:00") if k % 10 else at("2026-08-05 20:00")) for k in range(3000)],
+        "a int, b int, entered_at timestamp_ntz",
+    ).repartition(7)
+    for night_of, parts in (("entered_at", "night"), (None, None)):
+        folder = str(tmp_path / f"t-{parts}")
+        sinks.write_table(df, folder, night_of=night_of, order=["b", "a"], file_rows=500)
+        back = spark.read.parquet(folder).select("*", "_metadata.file_path", "_metadata.file_name", "_metadata.row_index").collect()
+        assert len(back) == 3000
+        groups = {}
+        for r in sorted(back, key=lambda r: (r.file_name, r.row_index)):
+            groups.setdefault(str(r.night) if parts else "", []).append((r.b, r.a))
+        assert all(g == sorted(g) for g in groups.values()) and len(groups) == (2 if parts else 1)
+        files = {}
+        for r in back:
+            files[r.file_path] = files.get(r.file_path, 0) + 1
+        assert max(files.values()) <= 1000 and 6 <= len(files) <= 8
+
+
+def test_a_join_that_multiplies_rows_is_told(spark):
+    from surveyspark.operators.contracts import RowGuard
+
+    df = spark.range(5)
+    for copies, fails in ((1, False), (2, True)):
+        guard = RowGuard()
+        guard.watched(df, "before").collect()
+        other = spark.createDataFrame([(k,) for k in range(4) for _ in range(copies)], "id long")
+        guard.watched(df.join(other, "id"), "after").collect()
+        if fails:
+            with pytest.raises(ValueError, match="after has 8 rows"):
+                guard.not_more("after", "before")
+        else:
+            guard.not_more("after", "before")
+
+
 def test_layers_and_summaries(spark, tmp_path):
     road = spark.createDataFrame([("s", [(0.0, -500000.0), (10.0, -500010.0)])], "segment_id string, line array<struct<x:double,y:double>>")
     layer = sinks.geojson_features(road, sinks.plane_line_geometry("line"), ["segment_id"])
