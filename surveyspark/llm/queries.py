@@ -11,6 +11,7 @@ from . import (
     bpe_duckdb,
     conversation_blocks,
     conversation_sql,
+    corpus_sql,
     decontaminate,
     feistel_pii,
     html_blocks,
@@ -59,7 +60,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.quality(table(spark, sf_dir, "documents"))
 
 
-@query("op6_decontaminate")
+@query("op6_decontaminate", corpus_sql.DECONTAMINATION)
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -72,7 +73,7 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_substring_cover")
+@query("op10_substring_cover", corpus_sql.REPEATED_PASSAGES)
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_cover.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
