@@ -3,11 +3,11 @@
 Spark partitions the documents; each task cuts its texts into pre-tokens and hands the different
 ones to an in-process DuckDB connection. There a word is one row per token, in order. Each round of
 a recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost
-pair of least rank, until no pair is left. In words of more than `SHORT` bytes other places of the
-same pair go in the same round where that is known to give the same result: no token pair with the
-contracted token may have a lower rank, and places may not overlap. Decoding joins ids with the
-vocabulary and concatenates by an ordered aggregation. Encoded words are kept in a bounded cache of
-the Python worker. Texts of Latin letters only are cut by a plain pattern that spells out the same
+pair of least rank, until no pair is left. A word of more than `PIECE` bytes is cut into pieces that are
+encoded as words; then every joint is proved or mended (see `_joined`), so rounds and rows grow with
+the length of a word, not with its square, and the ids are those of the uncut word. Decoding joins ids
+with the vocabulary and concatenates by an ordered aggregation. Encoded words are kept in a bounded
+cache of the Python worker. Texts of Latin letters only are cut by a plain pattern that spells out the same
 character classes, all others by the general one.
 
 Edge cases: a null text is empty; an empty text has no ids and decodes to no bytes; repeated rows
@@ -41,8 +41,10 @@ SLICE_CHARS = 4_000_000
 #: Ids decoded by one ordered aggregation.
 QUERY_IDS = 1_000_000
 
-#: Bytes of words whose rounds contract one place each.
-SHORT = 64
+#: Bytes of the pieces that a longer word is cut into.
+PIECE = 64
+#: Tokens on each side of a joint that are encoded anew first, where the joint does not hold.
+REACH = 4
 
 #: Letters, digits and white space below U+0250; texts with other numbers or characters take the general pattern.
 LETTER, DIGIT, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9", " \\t\\n\\x0b\\x0c\\r\\x85\\xa0"
@@ -51,68 +53,32 @@ PLAIN = re.compile(
 )
 NOT_PLAIN = re.compile("[²³¹¼-¾ɐ-\U0010ffff]")
 
-#: A row's key is its word's number times 128 plus the place of its first byte in the word.
-SHORT_ROUNDS = """
+#: A row's key is its word's number times 2^32 plus the place of its first byte in the word.
+ROUNDS = """
 with recursive state(step, key, id) as (
     select 0, key, id from symbols
     union all
     (
     with pairs as (
-        select step, key, key >> 7 as word, id, lag(key) over w as before,
-               case when lead(key) over w >> 7 = key >> 7 then id::bigint * 1048576 + lead(id) over w end as pair
+        select step, key, key >> 32 as word, id, lag(key) over w as before,
+               case when lead(key) over w >> 32 = key >> 32 then id::bigint * 1048576 + lead(id) over w end as pair
         from state window w as (order by key)
     ), best as (
-        select p.word, min(m.rank::bigint * 128 + (p.key & 127)) as least
+        select p.word, min(m.rank::bigint * 4294967296 + (p.key & 4294967295)) as least
         from pairs p join merges m on m.pair = p.pair group by p.word
     )
-    select o.step + 1, o.key, case when b.least & 127 = o.key & 127 then (b.least >> 7)::integer else o.id end
+    select o.step + 1, o.key, case when b.least & 4294967295 = o.key & 4294967295 then (b.least >> 32)::integer else o.id end
     from pairs o join best b using (word)
-    where o.before is null or o.before <> (o.word << 7 | (b.least & 127))
+    where o.before is null or o.before <> (o.word << 32 | (b.least & 4294967295))
     )
 ), last as (
-    select key >> 7 as word, max(step) as step from state group by 1
+    select key >> 32 as word, max(step) as step from state group by 1
 )
-select s.key >> 7 as word, s.id
-from state s join last t on t.word = s.key >> 7 and t.step = s.step
+select s.key >> 32 as word, s.id
+from state s join last t on t.word = s.key >> 32 and t.step = s.step
 order by s.key
 """
 
-LONG_ROUNDS = """
-with recursive state(step, word, pos, id) as (
-    select 0, word, pos, id from symbols
-    union all
-    (
-    with pairs as (
-        select step, word, pos, id,
-               lead(id) over w as next_id,
-               row_number() over w as place
-        from state window w as (partition by word order by pos)
-    ), ranked as (
-        select p.*, m.rank, m.alone, min(m.rank) over (partition by p.word) as least
-        from pairs p left join merges m on m.a = p.id and m.b = p.next_id
-    ), open as (
-        select * from ranked where least is not null
-    ), spots as (
-        select word, place, alone, row_number() over (partition by word order by place) as nth
-        from open where rank = least
-    ), runs as (
-        select word, place, alone, nth, row_number() over (partition by word, place - nth order by place) as in_run
-        from spots
-    ), chosen as (
-        select word, place from runs where nth = 1 or (not alone and in_run % 2 = 1)
-    )
-    select o.step + 1, o.word, o.pos, case when c.place is null then o.id else o.least end
-    from open o
-    left join chosen c on c.word = o.word and c.place = o.place
-    left join chosen d on d.word = o.word and d.place = o.place - 1
-    where d.place is null
-    )
-)
-select s.word, s.id
-from state s join (select word, max(step) as step from state group by word) t using (word, step)
-order by s.word, s.pos
-"""
-
 DECODE = """
 select row_no, string_agg(chars, '') as chars
 from (select t.row_no, v.chars from ids t join vocabulary v using (id) order by t.pos)
@@ -138,20 +104,11 @@ class Coder:
             if token[:k] in ranks and token[k:] in ranks
         ]
         a, b, rank = (np.array(c, np.int32) for c in zip(*splits))
-        # a token that can go on with a neighbour at a lower rank is contracted one place at a time
-        alone = set(a[rank < a].tolist()) | set(b[rank < b].tolist())
         self.con = duckdb.connect(config={"threads": 1})
-        merges = pa.table(
-            {
-                "a": a,
-                "b": b,
-                "pair": a.astype(np.int64) * 1048576 + b,
-                "rank": rank,
-                "alone": pa.array([r in alone for r in rank.tolist()]),
-            }
-        )
+        merges = pa.table({"pair": a.astype(np.int64) * 1048576 + b, "rank": rank})
         words = sorted(ranks.items(), key=lambda item: item[1])
         vocabulary = pa.table({"id": pa.array([r for _, r in words], pa.int32()), "chars": [t.decode("latin-1") for t, _ in words]})
+        self.bytes_of = {rank: token for token, rank in words}
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("given", rows)
             self.con.execute(f"create table {name} as select * from given")
@@ -159,37 +116,94 @@ class Coder:
         self.of_byte = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, which are all at most `SHORT` bytes long or all longer."""
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by one recursive query."""
         lengths = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        if lengths.max() <= SHORT:
-            symbols, rounds = {"key": word * 128 + pos, "id": ids}, SHORT_ROUNDS
-        else:
-            symbols, rounds = {"word": word, "pos": pos, "id": ids}, LONG_ROUNDS
-        self.con.register("symbols", pa.table(symbols))
-        result = self.con.sql(rounds).to_arrow_table()
+        self.con.register("symbols", pa.table({"key": (word << 32) + pos, "id": ids}))
+        result = self.con.sql(ROUNDS).to_arrow_table()
         self.con.unregister("symbols")
         values = result.column("id").to_numpy().astype("<u4").tobytes()
         sizes = np.bincount(result.column("word").to_numpy(), minlength=len(words))
         ends = (4 * np.cumsum(sizes)).tolist()
         return [values[i:j] for i, j in zip([0, *ends], ends)]
 
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by queries of about `QUERY_BYTES` bytes."""
+        out: list[bytes] = []
+        todo, size = [], 0
+        for k, w in enumerate(words):
+            todo.append(w)
+            size += len(w)
+            if size >= QUERY_BYTES or k == len(words) - 1:
+                out += self._contract(todo)
+                todo, size = [], 0
+        return out
+
+    def _holds(self, pairs: set[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+        """Whether two neighbouring tokens come out again where their bytes are encoded together."""
+        ordered = sorted(pairs)
+        found = self._contracted([self.bytes_of[a] + self.bytes_of[b] for a, b in ordered])
+        return {pair: ids == np.array(pair, "<u4").tobytes() for pair, ids in zip(ordered, found)}
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of long words from those of their pieces; all words share each round's queries.
+
+        A row of tokens is the encoding of its bytes if each two neighbours are that of theirs: the first
+        contraction across a border would be the first one of these two tokens alone as well, since the
+        least pair, leftmost first, stays the least among fewer. So only joints are looked at. Where one
+        does not hold, the tokens around it are encoded anew, over a reach that doubles until both ends
+        hold; stretches that meet become one.
+        """
+        cuts = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        kinds = sorted({c for cut in cuts for c in cut})
+        ids = dict(zip(kinds, (np.frombuffer(b, "<u4") for b in self._contracted(kinds))))
+        rows = [np.concatenate([ids[c] for c in cut]) for cut in cuts]
+        joints = {k: np.cumsum([len(ids[c]) for c in cut])[:-1] for k, cut in enumerate(cuts)}
+        known: dict[tuple[int, int], bool] = {}
+        reach = REACH
+        while joints:
+            sides = {k: list(zip(rows[k][at - 1].tolist(), rows[k][at].tolist())) for k, at in joints.items()}
+            fresh = {pair for pairs in sides.values() for pair in pairs} - known.keys()
+            known.update(self._holds(fresh))
+            stretches: list[list[int]] = []  # word, first token, end
+            for k, at in joints.items():
+                for j, pair in zip(at.tolist(), sides[k]):
+                    if known[pair]:
+                        continue
+                    low, high = max(0, j - reach), min(len(rows[k]), j + reach)
+                    if stretches and stretches[-1][0] == k and low <= stretches[-1][2]:
+                        stretches[-1][2] = high
+                    else:
+                        stretches.append([k, low, high])
+            raw = [b"".join(map(self.bytes_of.__getitem__, rows[k][i:j].tolist())) for k, i, j in stretches]
+            anew: dict[int, list] = {}
+            for (k, low, high), b in zip(stretches, self._contracted(raw)):
+                anew.setdefault(k, []).append((low, high, np.frombuffer(b, "<u4")))
+            joints = {}
+            for k, changes in anew.items():
+                parts, borders, at, size = [], [], 0, 0
+                for low, high, new in changes:
+                    parts += [rows[k][at:low], new]
+                    borders += [size + low - at, size + low - at + len(new)]
+                    size, at = borders[-1], high
+                rows[k] = np.concatenate([*parts, rows[k][at:]])
+                joints[k] = np.array([j for j in borders if 0 < j < len(rows[k])], np.int64)
+            reach *= 2
+        return [row.astype("<u4").tobytes() for row in rows]
+
     def learn(self, words: set[str]) -> None:
         """Encode words that are not yet known."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         raw = [(w, w.encode()) for w in words]
-        for group in ([r for r in raw if len(r[1]) <= SHORT], [r for r in raw if len(r[1]) > SHORT]):
-            todo, size = [], 0
-            for k, (w, b) in enumerate(group):
-                todo.append((w, b))
-                size += len(b)
-                if size >= QUERY_BYTES or k == len(group) - 1:
-                    self.known.update(zip([t[0] for t in todo], self._encode_words([t[1] for t in todo])))
-                    todo, size = [], 0
+        for encode_all, group in (
+            (self._contracted, [r for r in raw if len(r[1]) <= PIECE]),
+            (self._joined, [r for r in raw if len(r[1]) > PIECE]),
+        ):
+            self.known.update(zip([w for w, _ in group], encode_all([b for _, b in group])))
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids (unsigned 32-bit little-endian)."""

@@ -199,6 +199,21 @@ def test_bpe_odd_texts():
         assert coder.decode([ids])[0] == text.encode()
 
 
+def test_bpe_of_long_words():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.read_ranks(path), special_tokens={})
+    pick, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(pick.choices(letters, k=n)) for n in (64, 65, 129, 2000, 100_000)]
+    texts += ["".join(pick.choices("aeinst", k=20_000)), "abc" * 7000, "the" * 3000, "日本" * 3000, " \n" * 3000]
+    texts += [c * n for c in " =-a0" for n in (63, 64, 65, 1001)]
+    texts.append("".join(chr(pick.randrange(0x4E00, 0x9FFF)) for _ in range(3000)))
+    import regex
+
+    coder = bpe_duckdb.Coder(path)
+    for text, ids in zip(texts, bpe_duckdb._encoded(coder, regex.compile(public_tokenizers.PATTERN), texts)):
+        assert ids == np.array(own.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_quality_counts_and_outliers(spark, docs, empty):
     rows = quality_mcd.quality(docs).collect()
     assert len(rows) == len(TEXTS) + 2
