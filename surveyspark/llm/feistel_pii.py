@@ -170,13 +170,11 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    size = (LAST_DAY - FIRST_DAY).days + 1
+    # one permutation of days for all writings; days above the 12th stay so, as they tell month-first texts apart
+    size, late = (LAST_DAY - FIRST_DAY).days + 1, day.day > 12
     while True:
-        day = FIRST_DAY + timedelta(permute((day - FIRST_DAY).days, size, key, f"date{mark}{order}".encode(), back))
-        # a month-first text must stay one when it is read again, and a day-first text too
-        if not (mark == "/" and order != "ymd") or (order == "mdy") == (day.day > 12):
-            break
-        if order == "dmy":
+        day = FIRST_DAY + timedelta(permute((day - FIRST_DAY).days, size, key, b"date", back))
+        if (day.day > 12) == late:
             break
     values = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
     return mark.join(values[c] for c in order)
@@ -187,8 +185,10 @@ def _ssn(text: str, key: bytes, back: bool) -> str:
 
 
 def _email(text: str, key: bytes, back: bool) -> str:
+    """Letters stay letters, so the case of each is laid over the pseudonym of the lower-case address."""
     name, _, host = text.partition("@")
-    return f"{_in_alphabets(name, key, b'email|' + host.encode(), back)}@{host}"
+    new = _in_alphabets(name.lower(), key, b"email|" + host.lower().encode(), back)
+    return f"{''.join(n.upper() if c.isupper() else n for c, n in zip(name, new))}@{host}"
 
 
 def _aws(text: str, key: bytes, back: bool) -> str:
