@@ -3,9 +3,12 @@
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has its word count and
 link density, those of its neighbours, and two marks of where it stands (inside a boilerplate
 element, inside an article). A decision tree, trained here on the labelled table `EXAMPLES`, tells
-text from boilerplate. Scripts, styles, forms' fields, comments and head matter never become blocks.
+text from boilerplate: where a page has an article its marks weigh most, elsewhere counts and
+densities do. Class names of layout wrappers do not mark an article inside them. Scripts, styles,
+forms' fields, comments and head matter never become blocks.
 
-Edge cases: null and empty pages have empty text; unclosed and stray tags are tolerated; repeated
+Edge cases: null and empty pages have empty text; unclosed and stray tags are tolerated, and end
+tags that may be left out (head, p, li, option) end where the next element begins; repeated
 rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
@@ -19,13 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Markup: comments, tags with quotes that count only behind an equals sign, declarations.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    r"|<(script|style|noscript|template|textarea|select|option|button|svg|iframe|object|head|title)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>"
     r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+    re.DOTALL,
 )
+#: Elements skipped up to their end tag; without one, those of plain text go on to the end of the page.
+PLAIN_TEXT = frozenset("script style textarea title iframe".split())
+SKIPPED = PLAIN_TEXT | frozenset("noscript template select button svg object head".split())
+END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in SKIPPED}
+#: Start tags that do not end a head whose end tag is left out.
+IN_HEAD = SKIPPED | frozenset("html meta link base".split())
 #: Elements that stay inside a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
@@ -33,13 +42,20 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text.
-OUTSIDE = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
+OUTSIDE = frozenset(
+    "nav header footer aside form menu dialog fieldset figcaption option optgroup datalist".split()
+) | (SKIPPED - PLAIN_TEXT)
 ARTICLE = frozenset(("article", "main"))
-#: Names in class, id or role that mark boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|"
-    r"subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|masthead|comments?|replies|disqus|"
-    r"share|social|related|recommended|login|signup|search|contentinfo|complementary)(?:$|[\s_\d-])",
+#: Names in class, id or role that mark boilerplate, an article inside it included.
+FIRM = re.compile(
+    r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|popup|modal|newsletter|"
+    r"subscribe|comments?|replies|disqus|share|social|related|recommended)(?:$|[\s_\d-])",
+    re.IGNORECASE,
+)
+#: Names that mark boilerplate up to an article inside it, since layout wrappers carry them too.
+LOOSE = re.compile(
+    r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?:banner|notice|nav\w*|menu|breadcrumbs?|sidebar|side|widget|footer|header|"
+    r"masthead|login|signup|search|contentinfo|complementary)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -67,9 +83,28 @@ EXAMPLES = [
     (40, 0.8, 10, 1.0, 12, 0.9, 0, 0, 0, 0), (25, 0.7, 3, 0.0, 4, 0.5, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), (4, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0), (6, 0.0, 3, 0.5, 5, 0.0, 0, 0, 0, 0),
     (2, 0.0, 6, 0.0, 2, 0.0, 0, 0, 0, 0), (30, 0.0, 40, 0.0, 50, 0.0, 1, 0, 0, 0), (8, 0.0, 3, 1.0, 70, 0.0, 1, 0, 0, 0),
+    # pages without an article: a heading above its text, text between short blocks, between links, at the ends
+    (3, 0.0, 4, 1.0, 60, 0.0, 0, 0, 0, 1), (60, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1), (60, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1), (2, 0.0, 6, 1.0, 25, 0.0, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 33, 0.1, 0, 0, 0, 1),
+    (80, 0.0, 5, 1.0, 6, 1.0, 0, 0, 0, 1), (200, 0.0, 8, 0.0, 3, 1.0, 0, 0, 0, 1), (26, 0.0, 26, 0.0, 26, 0.0, 0, 0, 0, 1),
+    (55, 0.3, 60, 0.0, 50, 0.2, 0, 0, 0, 1), (20, 0.0, 3, 0.0, 70, 0.0, 0, 0, 0, 1), (16, 0.1, 40, 0.0, 22, 0.0, 0, 0, 0, 1),
+    (20, 0.3, 33, 0.0, 41, 0.1, 0, 0, 0, 1), (17, 0.0, 5, 0.0, 4, 1.0, 0, 0, 0, 1), (150, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # link lists, teasers of links, short lines among short lines, the last line of a page
+    (6, 1.0, 60, 0.0, 5, 1.0, 0, 0, 0, 0), (8, 0.9, 7, 1.0, 60, 0.0, 0, 0, 0, 0), (22, 1.0, 18, 1.0, 24, 1.0, 0, 0, 0, 0),
+    (60, 0.9, 3, 0.0, 4, 1.0, 0, 0, 0, 0), (35, 0.6, 4, 1.0, 4, 1.0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (4, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 0), (7, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
+    (6, 0.5, 60, 0.0, 3, 0.0, 0, 0, 0, 0), (9, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 0), (3, 1.0, 4, 0.0, 70, 0.0, 0, 0, 0, 0),
+    # the same sizes among links and among text
+    (14, 0.4, 30, 1.0, 28, 1.0, 0, 0, 0, 0), (14, 0.4, 30, 0.0, 28, 0.0, 0, 0, 0, 1), (18, 0.3, 32, 1.0, 30, 0.9, 0, 0, 0, 0),
+    (18, 0.3, 32, 0.0, 30, 0.1, 0, 0, 0, 1), (12, 0.0, 26, 1.0, 35, 1.0, 0, 0, 0, 0), (12, 0.0, 26, 0.0, 35, 0.1, 0, 0, 0, 1),
+    (9, 0.0, 40, 1.0, 45, 1.0, 0, 0, 0, 0), (9, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 1), (6, 0.0, 30, 0.9, 29, 0.9, 0, 0, 0, 0),
+    # links inside an article are its text
+    (12, 0.9, 30, 0.0, 40, 0.0, 0, 1, 1, 1), (10, 1.0, 20, 0.0, 6, 0.0, 0, 1, 1, 1), (14, 0.8, 9, 0.0, 12, 0.0, 0, 1, 1, 1),
+    (11, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1), (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1), (13, 1.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
+    (7, 1.0, 25, 1.0, 30, 1.0, 0, 1, 1, 1), (30, 1.0, 28, 1.0, 5, 0.0, 0, 1, 1, 1), (12, 0.6, 9, 1.0, 80, 1.0, 0, 1, 1, 1),
 ]
 #: Most questions from the root to a verdict.
-DEPTH = 7
+DEPTH = 9
 
 
 def train(rows: list[tuple], depth: int = DEPTH):
@@ -118,10 +153,11 @@ class Block:
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link density, inside boilerplate, inside an article) of every block with text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, firmly boilerplate, loosely, article
     outside = article = False
     links = 0
     block = Block(False, False)
+    endless: set[str] = set()  # skipped elements that have no end tag from here on
 
     def text(piece: str) -> None:
         if piece:
@@ -137,39 +173,51 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         block = Block(outside, article)
 
     at = 0
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, at):
         text(page[at : token.start()])
         at = token.end()
-        name = (token[3] or "").lower()
+        name = (token[2] or "").lower()
         if not name:
             continue
+        if name in SKIPPED and not token[1] and name not in endless:
+            end = END[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(name)
+            if name in PLAIN_TEXT:
+                at = len(page)
+                continue
         if name in INLINE and name != "wbr":
             if name == "a":
-                links = max(0, links + (-1 if token[2] else 1))
-            if not NAMED.search(token[4] or ""):
-                continue
+                links = max(0, links + (-1 if token[1] else 1))
+            continue
         if name in VOID:
             if name in ("br", "hr"):
                 text(" ")
             continue
-        if name in INLINE:
-            continue
-        if token[2]:
+        if token[1]:
             if name in (s[0] for s in stack):
                 while stack.pop()[0] != name:
                     pass
             links = 0
         else:
+            if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+                stack.pop()
             if stack and stack[-1][0] == "p" and name in ("p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table"):
                 stack.pop()
-            if stack and stack[-1][0] == name == "li":
+            if stack and stack[-1][0] == "option" or stack and stack[-1][0] == name == "li":
                 stack.pop()
-            within = bool(stack) and stack[-1][2]
-            marks = " ".join(filter(None, (x for m in NAMED.findall(token[4] or "") for x in m)))
-            mine = name in OUTSIDE and not (name == "header" and within)
-            mine = mine or bool(marks and name not in ("html", "body") and NAMES.search(marks) and name not in ARTICLE)
-            stack.append((name, (bool(stack) and stack[-1][1]) or mine, within or name in ARTICLE))
-        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            _, firm, loose, within = stack[-1] if stack else ("", False, False, False)
+            marks = " ".join(filter(None, (x for m in NAMED.findall(token[3] or "") for x in m)))
+            firm = firm or (name in OUTSIDE and not (name == "header" and within))
+            if name in ARTICLE:
+                loose = False
+            if marks and name not in ("html", "body"):
+                firm = firm or FIRM.search(marks) is not None
+                loose = loose or (name not in ARTICLE and LOOSE.search(marks) is not None)
+            stack.append((name, firm, loose, within or (name in ARTICLE and not firm)))
+        outside, article = (stack[-1][1] or stack[-1][2], stack[-1][3]) if stack else (False, False)
         cut()
     text(page[at:])
     cut()

@@ -356,6 +356,66 @@ def test_pseudonyms_of_other_writings():
         assert feistel_pii.replace(left, key) == (left, 0)
 
 
+def test_pseudonyms_stay_linked_across_writings():
+    one = lambda text: feistel_pii.replace(text, "secret")[0]
+    for y, m, d in ((2024, 2, 29), (1999, 12, 31), (2020, 4, 3), (1900, 1, 1), (2099, 12, 12), (1985, 7, 13)):
+        iso = one(f"{y}-{m:02d}-{d:02d}")
+        a, b, c = iso.split("-")
+        assert one(f"{y}/{m:02d}/{d:02d}") == f"{a}/{b}/{c}"
+        assert one(f"{d:02d}.{m:02d}.{y}") == f"{c}.{b}.{a}" and one(f"{d:02d}/{m:02d}/{y}") == f"{c}/{b}/{a}"
+        if d > 12:
+            assert one(f"{m:02d}/{d:02d}/{y}") == f"{b}/{c}/{a}"
+    plain = one("anna.b9@mail.example.com")
+    assert one("Anna.B9@mail.example.com").lower() == plain and one("ANNA.B9@MAIL.EXAMPLE.COM").lower() == plain
+    for text in ("Anna.B9@mail.example.com", "ANNA.B9@MAIL.EXAMPLE.COM", "02/29/2024", "03/04/2020"):
+        assert feistel_pii.replace(one(text), "secret", back=True)[0] == text
+
+
+LONG = " ".join(f"word{k}" for k in range(60)) + "."
+MENU = "<ul>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{LONG}</p></article></body>", LONG),
+        (f"<head><style>p {{}}</style><p>{LONG}</p>", LONG),
+        (f"<body><div class='page with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<body><div class='has side'><main><p>{LONG}</p></main></div>", LONG),
+        (f"<body><section class=comments><article><p>{LONG}</p></article></section>", ""),
+        (f"<body><aside><article><p>{LONG}</p></article></aside>", ""),
+        (f"<body>{MENU}<h2>Three short words</h2><p>{LONG}</p>{MENU}", f"Three short words {LONG}"),
+        (f"<body>{MENU}<p>{LONG}</p><p>{LONG}</p><p>Copyright 2020 Example Inc</p>", f"{LONG} {LONG}"),
+        (f"<article><p title='it's'>{LONG}</p><p title=\"a > b\">next</p></article>", f"{LONG} next"),
+        (f"<article><p>{LONG}</p></article><select><option>One<option>Two</select><p>tail", LONG),
+        (f"<div><option>One<option>Two</div><article><p>{LONG}</p></article>", LONG),
+        (f"<article><p>{LONG}</p><script>var a = '<p>b</p>';</article>", LONG),
+        (f"<article><p>{LONG}</p><button>Send<p>never</article>", LONG),
+    ],
+)
+def test_html_page_shapes(page, text):
+    assert html_blocks.main_text(page, html_blocks.train(html_blocks.EXAMPLES)) == text
+
+
+def test_html_tree_reads_words_and_density():
+    used = set()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used.add(tree[0])
+            walk(tree[2]), walk(tree[3])
+
+    walk(html_blocks.train(html_blocks.EXAMPLES))
+    assert {0, 1} <= used and used & {2, 4} and used & {3, 5}
+
+
+def test_html_long_page_and_clashing_columns(spark):
+    page = "<article>" + "<p>" + "word " * 20 + "</p>" + "".join(f"<p>{LONG} &amp; {k}</p><option>x" for k in range(3000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", page, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
+    row = html_blocks.extract(df).first()
+    assert row.n_chars == len(row.text) > 3000 * len(LONG)
+
+
 def test_html_blocks(spark):
     page = (
         "<html><head><title>T</title><script>if (a<b) '</p>';</script></head><body><nav><a href=x>Home</a></nav>"
