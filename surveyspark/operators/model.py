@@ -218,6 +218,41 @@ def loono_cv(learning: DataFrame, c: float = 0.2, parallelism: int = 4) -> DataF
     return folds.unionByName(total)
 
 
+def model_report(learning: DataFrame, fitted: Fitted | None, c: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """One row about the fit on `learning` (training Brier, out-of-fold scores), and the folds behind it.
+
+    Where the fit had one class only, the row has the status `insufficient-data` and there are no folds.
+    """
+    spark = learning.sparkSession
+    schema = "status string, rows bigint, positives bigint, features array<string>, cv_method string"
+    folds = loono_cv(learning, c) if fitted is not None else None
+    if folds is None:
+        none = spark.createDataFrame([("insufficient-data", None, None, None, None)], schema)
+        names = ("brier_train", "brier_loono", "pr_auc_loono")
+        counts = [F.lit(None).cast("bigint").alias(n) for n in ("oof_rows", "oof_positives")]
+        empty = spark.createDataFrame(
+            [], "night string, rows bigint, positives bigint, brier double, average_precision double, status string"
+        )
+        return none.select("*", *[F.lit(None).cast("double").alias(n) for n in names], *counts), empty
+    folds = checkpointed(folds)
+    pooled = folds.where(F.col("night") == "all")
+    # scores of a pool with one class say nothing
+    both = pooled.where((F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
+    trained = brier(fitted.score(training_table(learning, fitted.features)))
+    head = spark.createDataFrame(
+        [("ok", fitted.rows, fitted.positives, fitted.features, "leave-one-survey-night-out")], schema
+    )
+    report = head.select(
+        "*",
+        trained.select("brier").scalar().alias("brier_train"),
+        both.select("brier").scalar().alias("brier_loono"),
+        both.select("average_precision").scalar().alias("pr_auc_loono"),
+        both.select("rows").scalar().alias("oof_rows"),
+        both.select("positives").scalar().alias("oof_positives"),
+    )
+    return report, folds.where(F.col("night") != "all")
+
+
 def _no_scores() -> list[Column]:
     return [F.lit(None).cast("double").alias(c) for c in ("brier", "average_precision")]
 

@@ -51,6 +51,25 @@ def peak_hour(learning: DataFrame) -> DataFrame:
     )
 
 
+def forecast_summary(learning: DataFrame, k: int = 30) -> DataFrame:
+    """One row: the provisional peak hour and the ids of the k best segments, best first.
+
+    An empty table gives the status `no-data` and no ids. At most k ids meet in the row.
+    """
+    best = F.struct((-F.col("smoothed_rate")).alias("rate"), "segment_id")
+    top = rank_segments(learning, k).agg(
+        F.transform(F.array_sort(F.collect_list(best)), lambda s: s["segment_id"]).alias("top_segment_ids")
+    )
+    peak = peak_hour(learning)
+    return top.select(
+        F.when(F.size("top_segment_ids") > 0, "ok").otherwise("no-data").alias("status"),
+        F.lit("smoothed capture rate of segment passages").alias("method"),
+        *[peak.select(c).scalar().alias(c) for c in ("provisional_peak_start", "provisional_peak_end")],
+        "top_segment_ids",
+        F.lit("the peak hour is provisional until exposure has been checked on more nights").alias("warning"),
+    )
+
+
 def segment_risk(segments: DataFrame, learning: DataFrame) -> DataFrame:
     """Risk of every segment, visited or not; the global rate is taken over the whole layer."""
     layer = (
@@ -128,6 +147,83 @@ def qa_counts(
     )
 
 
+def unmatched_captures(events: DataFrame, cutoff: Column) -> DataFrame:
+    """Captures of the target before the cutoff that no road is near enough to, with the way to the nearest."""
+    return events.where((F.col("timestamp") < cutoff) & is_target_capture() & F.col("segment_id").isNull()).select(
+        "timestamp",
+        "lat",
+        "lon",
+        F.col("event_match_distance_m").alias("nearest_road_distance_m"),
+        F.lit("nearest road exceeds the match limit").alias("reason"),
+    )
+
+
+# Fixed column names that a step needs to be called complete.
+WEATHER_COLUMNS = (
+    "rain_1h_mm",
+    "rain_3h_mm",
+    "rain_6h_mm",
+    "rain_12h_mm",
+    "rain_24h_mm",
+    "rain_48h_mm",
+    "temperature_c",
+    "humidity_pct",
+    "dew_point_c",
+    "hours_since_rain",
+)
+TERRAIN_COLUMNS = (
+    "slope_observed_deg",
+    "junction_distance_m",
+    "stream_distance_m",
+    "forest_distance_m",
+    "residential_distance_m",
+)
+
+
+def step_status(
+    learning: DataFrame,
+    events: DataFrame,
+    cutoff: Column,
+    *,
+    scored: bool,
+    expected: tuple[int, int] | None = None,
+) -> DataFrame:
+    """How far each of the seven steps of a run has come: `step`, `status`.
+
+    `expected` are the captures and individuals known for the time before the cutoff; without it the second
+    step asks only that every capture lies on a segment. `scored` says whether frozen forecasts were
+    compared with a hold-out night. Both tables are read once.
+    """
+    rows = learning.where(F.col("entered_at") < cutoff).agg(
+        F.coalesce(F.bool_or(F.col("target_capture") == 0), F.lit(False)).alias("zeros")
+    )
+    number = F.coalesce(F.col("individual_count"), F.lit(1))
+    noted = events.where((F.col("timestamp") < cutoff) & is_target_capture()).agg(
+        F.count(F.lit(1)).alias("captures"),
+        F.coalesce(F.sum(number), F.lit(0)).alias("individuals"),
+        F.count_if(F.col("segment_id").isNull()).alias("lost"),
+    )
+    placed = F.col("lost") == 0
+    if expected is not None:
+        placed = placed & (F.col("captures") == expected[0]) & (F.col("individuals") == expected[1])
+    has = set(learning.columns)
+    bio = any(c.startswith("bio_") and ("_count" in c or "nearest_m" in c) for c in has)
+
+    def step(name: str, done: Column, otherwise: str) -> Column:
+        return F.struct(F.lit(name).alias("step"), F.when(done, "complete").otherwise(otherwise).alias("status"))
+
+    steps = [
+        step("1_zero_data", rows.select("zeros").scalar(), "incomplete"),
+        step("2_captures_on_segments", placed, "partial"),
+        step("3_exposure_corrected_time", F.lit(True), "incomplete"),
+        step("4_weather_join", F.lit(has.issuperset(WEATHER_COLUMNS)), "incomplete"),
+        step("5_bio_time_and_distance", F.lit(bio), "incomplete"),
+        step("6_terrain_features", F.lit(has.issuperset(TERRAIN_COLUMNS)), "partial"),
+        step("7_prediction_actual_scoring", F.lit(scored), "incomplete"),
+    ]
+    return noted.select(F.explode(F.array(*steps)).alias("s")).select("s.*")
+
+
 def brier(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean squared error of `probability` against the 0/1 `label`."""
     error = F.col("probability") - F.col("label")

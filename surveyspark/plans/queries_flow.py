@@ -14,6 +14,7 @@ from ..functions.timeops import night_key
 from ..operators import events as evt
 from ..operators import model as md
 from ..operators import weather as we
+from ..operators.ordered import arrange
 from ..operators.recovery import RecoveryRules, recover_roads
 from ..params import Params
 from ..session import scratch_folder
@@ -304,6 +305,33 @@ def _(t: Tables):
     )
 
 
+@query(
+    "route_layer",
+    """select row_number() over (order by part, session_file, seq) as place, value from (
+         select 0 as part, '' as session_file, 0 as seq, '{"type":"FeatureCollection","features":[' as value
+         union all select 2, '', 0, ']}'
+         union all select 1, session_file, seq,
+           case when seq = low then case when session_file = least_one then '' else ',' end
+             || '{"type":"Feature","properties":{"session_file":"' || session_file || '"},"geometry":{"type":"LineString","coordinates":[' else '' end
+           || printf('[%.7f,%.7f]', lon, lat) || case when seq = high then ']}}' else ',' end
+         from (select *, min(seq) over (partition by session_file) as low, max(seq) over (partition by session_file) as high from points
+               where lon is not null and lat is not null),
+              (select min(session_file) as least_one from (select session_file from points where lon is not null and lat is not null
+                 group by 1 having count(*) > 1))
+         where low < high)""",
+)
+def _(t: Tables):
+    folder = f"{scratch_folder(t.spark)}/routes-{uuid.uuid4().hex}"
+    sinks.write_text(sinks.route_text(t.points), folder, sinks.ROUTE_ORDER, file_rows=5000)
+    back = t.spark.read.text(folder).select(
+        "value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")
+    )
+    # numbered by file, block and line, as they were written
+    return arrange(back, [], ["file_name", "file_block_start", "line"]).running_sum(place=F.lit(1)).done().select(
+        F.col("place").cast("bigint").alias("place"), "value"
+    )
+
+
 # --- recovery, model, flow -------------------------------------------------------------
 
 # The given points are hours and kilometres apart; these limits make stretches of them.

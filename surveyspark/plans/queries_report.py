@@ -67,6 +67,24 @@ def _(t: Tables):
     return rounded(rp.peak_hour(exposures(t)), "rate", digits=8)
 
 
+@query(
+    "forecast_summary",
+    """select 'ok' as status, a.start as provisional_peak_start, a.stop as provisional_peak_end, b.ids as top_segment_ids
+       from (select lpad(cast(h as varchar), 2, '0') || ':00' as start, lpad(cast((h + 1) % 24 as varchar), 2, '0') || ':00' as stop
+             from (select extract(hour from entered_at) as h, (sum(target_capture) + 0.5) / (count(*) + 5) as r
+                   from exposures group by 1) order by r desc, h limit 1) a,
+            (select string_agg(segment_id, ',' order by r desc, segment_id) as ids
+             from (select segment_id, round((captures + g * 20) / (visits + 20), 12) as r
+                   from stats, (select (sum(captures) + 1) / (sum(visits) + 100) as g from stats)
+                   order by r desc, segment_id limit 30)) b""",
+    ("exposures", EXPOSURES_SQL),
+    ("stats", STATS_SQL),
+)
+def _(t: Tables):
+    found = rp.forecast_summary(exposures(t)).drop("method", "warning")
+    return found.withColumn("top_segment_ids", F.array_join("top_segment_ids", ","))
+
+
 @query(
     "segment_risk",
     """select segment_id, v as visits, c as captures, i as individuals, round((c + g * 20) / (v + 20), 8) as risk,
@@ -102,6 +120,14 @@ def _(t: Tables):
 
 
 QA_EVENTS_SQL = "select * replace (case when other_capture is null then segment_id end as segment_id) from field_events"
+def _qa_cutoff():
+    return F.lit(datetime(2024, 1, 20, 7)).cast("timestamp_ntz")
+
+
+def _qa_events(t: Tables):
+    return t.field_events.withColumn("segment_id", F.when(F.col("other_capture").isNull(), F.col("segment_id")))
+
+
 TARGET = "timestamp < timestamp '2024-01-20 07:00:00' and species = 'ハブ' and event_type in ('捕獲', 'capture')"
 
 
@@ -125,12 +151,36 @@ TARGET = "timestamp < timestamp '2024-01-20 07:00:00' and species = 'ハブ' and
     ("qa_events", QA_EVENTS_SQL),
 )
 def _(t: Tables):
-    events = t.field_events.withColumn(
-        "segment_id", F.when(F.col("other_capture").isNull(), F.col("segment_id"))
-    )
+    events = _qa_events(t)
     distinct_events = evt.dedupe_events(events, ["event_id"])
-    cutoff = F.lit(datetime(2024, 1, 20, 7)).cast("timestamp_ntz")
-    return rp.qa_counts(t.point_rows, events, distinct_events, exposures(t), cutoff)
+    return rp.qa_counts(t.point_rows, events, distinct_events, exposures(t), _qa_cutoff())
+
+
+@query(
+    "step_status",
+    f"""select unnest(['1_zero_data', '2_captures_on_segments', '3_exposure_corrected_time', '4_weather_join',
+                      '5_bio_time_and_distance', '6_terrain_features', '7_prediction_actual_scoring']) as step,
+              unnest([case when (select count(*) from exposures where entered_at < timestamp '2024-01-20 07:00:00' and target_capture = 0) > 0
+                           then 'complete' else 'incomplete' end,
+                      case when count(*) filter (where segment_id is null) = 0 then 'complete' else 'partial' end,
+                      'complete', 'incomplete', 'incomplete', 'partial', 'complete']) as status
+       from qa_events where {TARGET}""",
+    ("exposures", EXPOSURES_SQL),
+    ("qa_events", QA_EVENTS_SQL),
+)
+def _(t: Tables):
+    return rp.step_status(exposures(t), _qa_events(t), _qa_cutoff(), scored=True)
+
+
+@query(
+    "unmatched_captures",
+    f"""select timestamp, round(lat, 6) as lat, round(lon, 6) as lon, cast(null as double) as nearest_road_distance_m,
+              'nearest road exceeds the match limit' as reason from qa_events where segment_id is null and {TARGET}""",
+    ("qa_events", QA_EVENTS_SQL),
+)
+def _(t: Tables):
+    events = _qa_events(t).withColumn("event_match_distance_m", F.lit(None).cast("double"))
+    return rounded(rp.unmatched_captures(events, _qa_cutoff()), "lat", "lon")
 
 
 SCORED_SQL = """

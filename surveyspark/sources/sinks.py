@@ -87,6 +87,56 @@ def event_layer(events: DataFrame, cutoff: Column, species: str) -> DataFrame:
     )
 
 
+def segment_layer(segments: DataFrame, risk: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Every segment with its passages, captures and risk, one GeoJSON feature per row."""
+    placed = segments.select("segment_id", "line").join(risk, "segment_id")
+    properties = ["segment_id", "visits", "captures", "individuals", "risk", "unvisited"]
+    return geojson_features(placed, plane_line_geometry("line", p), properties)
+
+
+#: Order of the rows of `route_text`.
+ROUTE_ORDER = ["part", "session_file", "seq"]
+
+
+def route_text(points: DataFrame) -> DataFrame:
+    """The route layer as the lines of one GeoJSON document, a line per vertex: `value`, ordered by `ROUTE_ORDER`.
+
+    A session of any length stays spread over rows: its first vertex carries the head of the feature and
+    its last the end, so no route is ever one row or one task. Points without a position are left out, as are
+    sessions with fewer than two; `seq` is unique in a session. Degrees have seven decimals.
+    """
+    placed = points.where("lon is not null and lat is not null and seq is not null").select(
+        "session_file", "seq", F.format_string("[%.7f,%.7f]", "lon", "lat").alias("place")
+    )
+    ends = placed.groupBy("session_file").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    ends = ends.where("_first < _last")
+    first_session = ends.agg(F.min("session_file")).scalar()
+    name = F.to_json(F.struct("session_file"))
+    head = F.concat(
+        F.when(F.col("session_file") == first_session, "").otherwise(","),
+        F.lit('{"type":"Feature","properties":'),
+        name,
+        F.lit(',"geometry":{"type":"LineString","coordinates":['),
+    )
+    value = F.concat(
+        F.when(F.col("seq") == F.col("_first"), head).otherwise(""),
+        "place",
+        F.when(F.col("seq") == F.col("_last"), "]}}").otherwise(","),
+    )
+    vertices = placed.join(ends, "session_file").select(F.lit(1).alias("part"), "session_file", "seq", value.alias("value"))
+    frame = points.sparkSession.createDataFrame(
+        [(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "part int, value string"
+    ).select("part", F.lit("").alias("session_file"), F.lit(0).cast(points.schema["seq"].dataType).alias("seq"), "value")
+    return vertices.unionByName(frame)
+
+
+def write_text(df: DataFrame, path: str, order: list[str], file_rows: int = FILE_ROWS) -> None:
+    """Writes `value` in the stated order; the files, joined by name, are the document."""
+    parts = max(1, -(-df.count() // file_rows))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("value").write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 

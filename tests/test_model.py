@@ -94,6 +94,20 @@ def test_leave_one_night_out(spark):
     assert out["all"].brier == pytest.approx(pooled)
 
 
+def test_model_report(spark):
+    df = learning(spark)
+    fitted = md.fit_model(df)
+    report, folds = md.model_report(df, fitted)
+    row, parts = report.first(), folds.collect()
+    x = md.training_table(df, fitted.features)
+    error = [(r.probability - r.label) ** 2 for r in fitted.score(x).collect()]
+    assert (row.status, row.rows, row.oof_rows) == ("ok", 240, 240) and row.features == fitted.features
+    assert row.positives == row.oof_positives == sum(r.positives for r in parts)
+    assert row.brier_train == pytest.approx(np.mean(error))
+    assert row.brier_loono == pytest.approx(sum(r.brier * r.rows for r in parts) / 240)
+    assert 0 < row.pr_auc_loono < 1 and len(parts) == 4
+
+
 def test_single_class_folds_are_skipped(spark):
     first = F.lit("2026-08-02 07:00:00").cast("timestamp_ntz")
     df = learning(spark).withColumn("target_capture", F.when(F.col("entered_at") < first, F.col("target_capture")).otherwise(0))
