@@ -156,9 +156,10 @@ def fit_model(learning: DataFrame, c: float = 0.2) -> Fitted | None:
     return fit(checkpointed(training_table(learning, features)), features, c)
 
 
-def coefficient_table(fitted: Fitted, spark) -> DataFrame:
-    rows = [("intercept", float(fitted.model.intercept))]
-    for name, weight in zip(fitted.terms, fitted.model.coefficients):
+def coefficient_table(fitted: Fitted | None, spark) -> DataFrame:
+    """Coefficients by feature; no rows where the fit had one class only."""
+    rows = [] if fitted is None else [("intercept", float(fitted.model.intercept))]
+    for name, weight in zip(fitted.terms, fitted.model.coefficients) if fitted is not None else ():
         kind, index = name.split("_")
         label = fitted.features[int(index)]
         rows.append((label if kind == "z" else f"{label}_missing", float(weight)))
@@ -257,12 +258,20 @@ def _no_scores() -> list[Column]:
     return [F.lit(None).cast("double").alias(c) for c in ("brier", "average_precision")]
 
 
-def score_holdout(fitted: Fitted, holdout: DataFrame) -> DataFrame:
+def score_holdout(fitted: Fitted | None, holdout: DataFrame) -> DataFrame:
     """Summary of the hold-out scores, marked as diagnostic.
 
     The weather features are measurements made after the fact, so these scores say nothing
-    about a forecast issued before the night.
+    about a forecast issued before the night. Without a fit (one class only) the rows are counted
+    and there are no scores.
     """
+    if fitted is None:
+        label = F.col("target_capture").cast("bigint")
+        counted = holdout.agg(
+            F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(label), F.lit(0)).alias("positive_rows")
+        )
+        none = [F.lit(None).cast("double").alias(c) for c in ("mean_pred_prob", "max_pred_prob", "brier")]
+        return mark_diagnostic(counted.select("*", *none, F.lit("insufficient-data").alias("status")))
     missing = [c for c in fitted.features if c not in holdout.columns]
     table = training_table(
         holdout.withColumns({c: F.lit(None).cast("double") for c in missing}), fitted.features

@@ -141,3 +141,13 @@ def test_rank_risk_and_peak(spark):
     assert risk["c"].unvisited == 1 and risk["c"].risk == pytest.approx(g2)
     rates = {r.feature: (r.present, r.missing_rate) for r in rp.missing_rates(df, {"x": ["segment_id", "nope"]}).collect()}
     assert rates == {"segment_id": (True, 0.0), "nope": (False, None)}
+
+
+def test_a_table_of_one_class_has_no_fit_but_a_report(spark):
+    one = learning(spark).withColumn("target_capture", F.lit(1))
+    fitted = md.fit_model(one)
+    assert fitted is None
+    assert md.coefficient_table(fitted, spark).collect() == []
+    row = md.score_holdout(fitted, one).first()
+    assert (row["rows"], row["positive_rows"], row["status"], row["brier"]) == (240, 240, "insufficient-data", None)
+    assert md.score_holdout(fitted, one).columns == md.score_holdout(md.fit_model(learning(spark)), one).columns
