@@ -181,7 +181,13 @@ def loono_cv(learning: DataFrame, c: float = 0.2, parallelism: int = 4) -> DataF
         .collect()
     }
 
+    rows, positives = (sum(int(c[i] or 0) for c in counts.values()) for i in (0, 1))
+
     def one(night: str) -> DataFrame | None:
+        others = positives - int(counts[night][1] or 0)
+        # the counts tell a fold of one class before any pass over its rows
+        if others in (0, rows - counts[night][0]):
+            return None
         fitted = fit(table.where(F.col("night") != night), features, c)
         if fitted is None:
             return None

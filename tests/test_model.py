@@ -151,3 +151,12 @@ def test_a_table_of_one_class_has_no_fit_but_a_report(spark):
     row = md.score_holdout(fitted, one).first()
     assert (row["rows"], row["positive_rows"], row["status"], row["brier"]) == (240, 240, "insufficient-data", None)
     assert md.score_holdout(fitted, one).columns == md.score_holdout(md.fit_model(learning(spark)), one).columns
+
+
+def test_folds_of_one_class_are_told_by_their_counts(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("a fold of one class was prepared")
+
+    monkeypatch.setattr(md, "_terms", never)
+    found = md.loono_cv(learning(spark).withColumn("target_capture", F.lit(1)))
+    assert {r["status"] for r in found.collect()} == {"skipped"}
