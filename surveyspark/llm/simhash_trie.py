@@ -16,7 +16,9 @@ not share a shingle, so with sixteen parts of 48 bits and three bits of budget a
 0.8 meets in some part with a chance of 0.995. Each part goes through the same trie join, but parts only
 propose: a link stays where the sets of shingles themselves have a similarity of 0.8 or more. The trie's
 links are a forest, so a refused link may have stood for others: where the proposed links of a component
-end up in several groups, all its pairs between groups are proposed once more, none left out, and judged.
+end up in several groups, its texts are compared by what they differ in from the component's common core.
+Those near the core are linked to the closest one; other near copies share rare differences and meet there,
+so that no link between groups is left out and a family of many like texts is not expanded into its pairs.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 share a component; a null id never names a component unless nothing else is in it; an empty table
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, hex64, id_and_text, per_text, written
@@ -41,8 +43,6 @@ SEED = 42
 NODE_ROWS = 50_000
 #: Bits by which a too large node is split at a time.
 SPLIT_BITS = 4
-#: The same where all pairs of a node are kept and not only a forest.
-OPEN_ROWS = 2_000
 #: Depth from which nodes are not split: 256 values at most lie below each side.
 DEEPEST = 56
 #: Shingles whose bits are unpacked at once.
@@ -132,18 +132,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return per_text(id_and_text(df, id_col, text_col), "fp long", lambda text: (fingerprint(text, words_per),))
 
 
-def walk_pairs(
-    values: np.ndarray, first: np.ndarray, second: np.ndarray, budget: np.ndarray, labels: np.ndarray | None = None
-) -> tuple:
+def walk_pairs(values: np.ndarray, first: np.ndarray, second: np.ndarray, budget: np.ndarray) -> tuple:
     """Index pairs of `values` within the budget, by joint descent from pairs of value ranges.
 
     `first` and `second` are (n, 2) arrays of ranges; equal ranges mean a node against itself.
-    Values of a range are sorted and unsigned. All pairs of one depth advance together. With `labels`
-    pairs of one label are left out; a negative label differs from all, itself included.
+    Values of a range are sorted and unsigned. All pairs of one depth advance together.
     """
-    if labels is not None:
-        turns = np.concatenate(([0], np.cumsum((labels[1:] != labels[:-1]) | (labels[1:] < 0))))
-        whole = lambda r: (turns[r[:, 0]] == turns[r[:, 1] - 1]) & (labels[r[:, 0]] >= 0)
     a, b, left = first, second, budget
     out_a, out_b = [], []
     for bit in range(63, -1, -1):
@@ -158,10 +152,6 @@ def walk_pairs(
         left = np.concatenate((left, left, left - 1, left[~own] - 1))
         size_a, size_b = a[:, 1] - a[:, 0], b[:, 1] - b[:, 0]
         live = (left >= 0) & (size_a > 0) & (size_b > 0) & ~((a[:, 0] == b[:, 0]) & (size_a == 1))
-        if labels is not None:
-            at = np.nonzero(live)[0]
-            x, y = a[at], b[at]
-            live[at[whole(x) & whole(y) & (labels[x[:, 0]] == labels[y[:, 0]])]] = False
         single = live & (size_a == 1) & (size_b == 1)
         if single.any():  # two leaves: their remaining bits settle them at once
             below = np.uint64((1 << bit) - 1)
@@ -205,7 +195,6 @@ def _blocks(budget: int, bits: int) -> list[tuple[int, int]]:
 
 def _start_nodes(prints: DataFrame, budget: int, bits: int) -> DataFrame:
     """Each value once per block, turned so that the block leads; `block` also tells the part."""
-    more = [c for c in prints.columns if c == "root"]
     starts = []
     for k, (lo, width) in enumerate(_blocks(budget, bits)):
         turned = F.shiftleft("fp", lo).bitwiseOR(F.shiftrightunsigned("fp", bits - lo)) if lo else F.col("fp")
@@ -220,7 +209,7 @@ def _start_nodes(prints: DataFrame, budget: int, bits: int) -> DataFrame:
                 turned.alias("turned"),
             )
         )
-    rows = prints.select("part", "fp", *more, F.explode(F.array(*starts)).alias("n")).select("fp", *more, "n.*")
+    rows = prints.select("part", "fp", F.explode(F.array(*starts)).alias("n")).select("fp", "n.*")
     return rows.withColumns({"side": F.lit(0), "left": F.lit(budget)})
 
 
@@ -236,7 +225,6 @@ def _split(rows: DataFrame, budget: int) -> DataFrame:
     head = lambda p: F.shiftleft(p, SPLIT_BITS)
     return grown.select(
         "fp",
-        *[c for c in rows.columns if c == "root"],
         "block",
         (F.col("depth") + SPLIT_BITS).alias("depth"),
         head("pa").bitwiseOR(F.when(swap, F.col("other")).otherwise(F.col("own"))).alias("pa"),
@@ -248,14 +236,11 @@ def _split(rows: DataFrame, budget: int) -> DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join each node pair with itself; rows come sorted by node pair, side and turned value.
-
-    Rows with a `root` give all pairs of different roots, others a forest.
-    """
+    """Join each node pair with itself and keep a forest; rows come sorted by node pair, side and turned value."""
     names = ["fp", "block", "depth", "pa", "pb", "turned", "side", "left"]
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        fp, block, depth, pa_, pb_, turned, side, left, *root = rows
+        fp, block, depth, pa_, pb_, turned, side, left = rows
         n = len(fp)
         change = np.ones(n, bool)
         change[1:] = (block[1:] != block[:-1]) | (depth[1:] != depth[:-1]) | (pa_[1:] != pa_[:-1]) | (pb_[1:] != pb_[:-1])
@@ -269,17 +254,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = (first[:, 1] > first[:, 0]) & (second[:, 1] > second[:, 0]) & (stop - start > 1)
         low = np.where(depth >= 64, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(depth, 63).astype(np.uint64))
         values = turned.view(np.uint64) & low
-        x, y = walk_pairs(values, first[use], second[use], left[start][use].astype(np.int64), *root)
-        if not root:
-            kept = list(forest(x, y))
-            x = np.array([k[0] for k in kept], np.int64)
-            y = np.array([k[1] for k in kept], np.int64)
+        x, y = walk_pairs(values, first[use], second[use], left[start][use].astype(np.int64))
+        kept = list(forest(x, y))
+        x = np.array([k[0] for k in kept], np.int64)
+        y = np.array([k[1] for k in kept], np.int64)
         columns = [pa.array(c, pa.int64()) for c in (block[x] // 16, fp[x], fp[y])]
         return pa.RecordBatch.from_arrays(columns, ["part", "a", "b"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        names += [c for c in batch.schema.names if c == "root" and c not in names]
         new = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
         held = new if held is None else [np.concatenate(p) for p in zip(held, new)]
         n = len(held[0])
@@ -297,10 +280,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_fingerprints(prints: DataFrame, budget: int = 2, bits: int = 64, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Links `(part, a, b)` of different values `(part, fp)`; they keep every component within the budget.
-
-    Where `prints` have a `root`, all pairs of different roots; a negative root differs from all.
-    """
+    """Links `(part, a, b)` of different values `(part, fp)`; they keep every component within the budget."""
     rows = written(_start_nodes(prints, budget, bits), "trie")
     found = None
     while True:
@@ -367,24 +347,56 @@ def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open_links(values: DataFrame, placed: DataFrame, proposed: DataFrame) -> DataFrame:
-    """All pairs `(a, b)` of nodes that meet in a part and have different roots, among nodes `proposed` links reach.
+def _differences(nodes: DataFrame, texts: DataFrame, words_per: int) -> DataFrame:
+    """Nodes `(node, root, whole)` with the `tokens` their shingles differ by from the core of their component.
 
-    Only components of `proposed` that fell into several roots count: elsewhere no pair is open.
+    The core is the set of shingles that over half the nodes hold. `over` is nine times the number of tokens less the
+    `size` of the set: two texts are near copies exactly where their differences have at least an eighteenth of both
+    `over` in common. Where that is not above zero they are near copies whatever they share.
+    """
+    asked = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    made = per_text(asked, "shingles array<bigint>", lambda t: (np.unique(shingle_hashes(t, words_per)).view(np.int64).tolist(),))
+    sets = written(made.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "sets")
+    held = sets.select("whole", F.explode("shingles").alias("token")).groupBy("whole", "token").agg(F.count("*").alias("n"))
+    most = held.join(sets.groupBy("whole").agg(F.count("*").alias("all")), "whole").where("2 * n > all")
+    core = most.groupBy("whole").agg(F.collect_list("token").alias("core"))
+    known = sets.join(core, "whole", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
+    apart = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
+    out = known.select("node", "root", "whole", F.size("shingles").alias("size"), apart.alias("tokens"))
+    return written(out.withColumn("over", 9 * F.size("tokens") - F.col("size")), "differences")
+
+
+def _open_links(placed: DataFrame, texts: DataFrame, proposed: DataFrame, words_per: int) -> tuple[DataFrame, DataFrame]:
+    """Links `(a, b)` of near copies, and those to be judged, which with them leave out no near copies of different roots.
+
+    Only components of `proposed` that fell into several roots count. Nodes close to the core of their component are
+    linked to the closest one. Any other pair of near copies shares some of its differences from the core: it meets at
+    the rarest of these, if that leaves enough to share behind it on both sides. Edits that a text has for itself come
+    first and meet nothing, so pairs arise where edits are shared, and not within all of a family.
     """
     reach = placed.join(written(components(proposed), "reach").toDF("node", "whole"), "node").select("node", "root", "whole")
     split = reach.groupBy("whole").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    nodes = reach.join(split, "whole", "left_semi").select("node", "root")
-    members = written(values.join(nodes, "node"), "members")
-    marks = members.groupBy("part", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marks = written(marks.select("part", "fp", F.expr("if(low = high, low, -1L)").alias("root")), "marks")
-    near = linked_fingerprints(marks, PART_BUDGET, PART_BITS, OPEN_ROWS).distinct()
-    near = near.unionByName(marks.where("root < 0").select("part", F.col("fp").alias("a"), F.col("fp").alias("b")))
-    for side in ("a", "b"):
-        ends = members.select("part", F.col("fp").alias(side), F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}"))
-        near = near.join(ends, ["part", side])
-    near = near.where("root_a <> root_b")
-    return near.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    nodes = written(reach.join(split, "whole", "left_semi"), "open")
+    away = _differences(nodes, texts, words_per)
+    closest = away.groupBy("whole").agg(F.min(F.struct("over", "node")).alias("closest"))
+    away = away.join(closest, "whole").withColumn("far", F.col("over") + F.col("closest.over") > 0)
+    star = away.where("not far and node <> closest.node").select(F.col("node").alias("a"), F.col("closest.node").alias("b"))
+    # least number of shared tokens with any near copy: sizes differ by a quarter at most, and one side of a pair is far
+    least = F.ceil(F.size("tokens") - F.col("size") / 4)
+    least = F.greatest(F.lit(1), least, F.when(~F.col("far"), F.ceil((F.col("over") - F.col("closest.over")) / 18)))
+    each = away.select("whole", "node", "root", "size", "over", "far", least.alias("least"), F.size("tokens").alias("d"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("whole", "token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    # tokens that may follow, this one included
+    left = each.join(counts, ["whole", "token"]).withColumn("rest", F.col("d") - place + 1)
+    left = written(left.where("n > 1 and rest >= least").drop("least", "d", "n"), "rarest")
+    sides = [left.withColumnsRenamed({c: f"{c}_{s}" for c in left.columns if c not in ("whole", "token")}) for s in "ab"]
+    near = sides[0].join(sides[1], ["whole", "token"]).where(
+        """node_a > node_b and root_a <> root_b and (far_a or far_b)
+           and 5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)
+           and 18 * least(rest_a, rest_b) >= over_a + over_b"""
+    )
+    return star, near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_copies(
@@ -416,7 +428,8 @@ def near_copies(
     links = written(links, "links")
     kept = _accepted(links, classes, texts, words_per)
     placed = written(_placed(classes, kept), "placed")
-    more = _accepted(_open_links(values, placed, links), classes, texts, words_per)
+    star, asked = _open_links(placed, texts, links, words_per)
+    more = written(star.unionByName(_accepted(asked, classes, texts, words_per)), "more")
     if not more.isEmpty():
         placed = _placed(classes, kept.unionByName(more))
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))

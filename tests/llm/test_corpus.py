@@ -172,6 +172,28 @@ def test_near_copies_within_half_alike_families(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == expected
 
 
+def test_near_copies_of_a_family_are_not_all_paired(spark, monkeypatch):
+    pick, base, rows = random.Random(9), prose(22, 150).split(), []
+    for k in range(400):  # 0 to 9 words of their own: some are near all others, some near none
+        member = list(base)
+        for p in pick.sample(range(150), k % 10):
+            member[p] = f"own{k}x{p}"
+        rows.append((k, " ".join(member)))
+    rows += [(400 + k, rows[9 + 10 * k][1] + f" end{k}") for k in range(5)]  # twins of far ones
+    sets = [set(simhash_trie.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = np.array([[5 * len(x & y) >= 4 * len(x | y) for y in sets] for x in sets])
+    label = np.arange(len(rows))
+    while (new := np.where(alike, label, len(rows)).min(1)).tolist() != label.tolist():
+        label = new
+    expected = {i: int(g) for (i, _), g in zip(rows, label)}
+    assert len(set(expected.values())) > 50
+    judged, accepted = [], simhash_trie._accepted
+    monkeypatch.setattr(simhash_trie, "_accepted", lambda links, *rest: judged.append(links.count()) or accepted(links, *rest))
+    found = simhash_trie.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == expected
+    assert judged[-1] < 2 * len(rows)
+
+
 def test_bpe_equals_tiktoken(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.read_ranks(path), special_tokens={})
