@@ -7,12 +7,13 @@ Strings of `length` bytes that start at two places are found in three steps.
 2. Around every anchor found twice lies a snippet, the bytes of strings it stands for. Snippets of one
    anchor that are equal settle each other by hash. What is left are anchors with different snippets,
    the edges of copies; one snippet of each kind is fetched.
-3. Snippets of an anchor meet in one task. They are cut into symbols of eight bytes from the anchor,
-   and the suffix array of the symbols is built in linear time: suffixes are grouped by their Lyndon
-   prefixes, groups are processed in descending order with previous-smaller pointers, and the order
-   within groups is then emitted from the least suffix on, without renaming. Strings with a symbol
-   bound inside are equal where a run of the array shares enough bytes to the right and the few bytes
-   to the left agree, which gives back single bytes.
+3. Snippets of an anchor meet in one task. They are cut into symbols of eight bytes from the anchor
+   backward; what follows from the anchor on is one symbol more, its rank, as equal strings hold their
+   anchor at the same place. The suffix array of the symbols is built in linear time: suffixes are
+   grouped by their Lyndon prefixes, groups are processed in descending order with previous-smaller
+   pointers, and the order within groups is then emitted from the least suffix on, without renaming.
+   Strings with a symbol bound inside are equal where a run of the array shares enough bytes to the
+   right and the few bytes to the left agree, which gives back single bytes.
 
 Anchors with more than `CLASS_SNIPPETS` different snippets do not fit a task; their strings are
 compared by hashes of 96 bits instead. Equal anchors within a batch and equal snippets within a cell
@@ -44,6 +45,8 @@ LENGTH, GRAM, SYMBOL = 200, 32, 8
 CLASS_SNIPPETS = 20_000
 #: Symbols of one suffix array; an anchor's snippets are never parted.
 BLOCK = 60_000
+#: Pairs of neighbours in the array that are compared at once.
+CHUNK = 16_384
 #: Characters of text a task hashes at once.
 SLICE = 4_000_000
 
@@ -52,20 +55,33 @@ SPANS = "cell long, row long, start int, stop int"
 
 def suffix_order(text: list[int]) -> list[int]:
     """Suffix array of positive numbers; the end counts as the least symbol."""
-    text = [*text, 0]
-    n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, start, size = [0] * n, [0] * n, [0] * n
-    head = 0
-    for k, i in enumerate(order):
-        if k and text[i] != text[order[k - 1]]:
-            head = k
-        place[i], start[i] = k, head
-        size[head] += 1
+    values = np.array([*text, 0], np.int64)
+    n = len(values)
+    by = np.argsort(values, kind="stable")
+    head = np.concatenate(([True], values[by][1:] != values[by][:-1]))
+    at = np.empty((2, n), np.int64)
+    at[:, by] = np.arange(n), np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    order, place, start, size = by.tolist(), at[0].tolist(), at[1].tolist(), np.bincount(at[1], minlength=n).tolist()
     before = [-1] * n
     last = n - 1
     while last >= 0:
         first = start[order[last]]
+        if first == last:  # a group of one moves one suffix at most
+            i = order[last]
+            p = i - 1
+            while p >= 0 and start[p] >= first:
+                p = before[p]
+            before[i] = p
+            last -= 1
+            if p >= 0 and size[group := start[p]] > 1:
+                size[group] -= 1
+                end = group + size[group]
+                size[end] = 1
+                q, k = order[end], place[p]
+                order[end], order[k] = p, q
+                place[p], place[q] = end, k
+                start[p] = end
+            continue
         members = sorted(order[first : last + 1])
         pointed: dict[int, int] = {}
         for i in members:  # the nearest suffix before it in a lesser group
@@ -133,59 +149,64 @@ def common_lengths(text: list[int], order: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(snippets: list[tuple[bytes, int, int, int, int]], length: int) -> list[np.ndarray]:
-    """For snippets `(bytes, offset of the anchor, class, text, begin)`: starts of strings that stand elsewhere in the class too.
+def _equal_bytes(rights: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that `rights[i]` and `rights[j]` share from their begin on; the zeros put behind short ones may count."""
+    width = max(map(len, rights), default=0) + 1
+    flat = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rights), np.uint8).reshape(-1, width)
+    out = np.zeros(len(i), np.int64)
+    for at in range(0, len(i), CHUNK):
+        differs = flat[i[at : at + CHUNK]] != flat[j[at : at + CHUNK]]
+        out[at : at + CHUNK] = np.where(differs.any(1), differs.argmax(1), width)
+    return out
+
+
+def repeated_spans(snippets: list[tuple[bytes, int, int, int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For snippets `(bytes, offset of the anchor, class, text, begin)`: number of the snippet, first byte and end of
+    the runs covered by strings that stand elsewhere in the class too.
 
-    Snippets of one text may overlap, so strings count once per place in their text.
+    Equal strings hold the anchor at the same place, so what follows it from the anchor on is one symbol, the rank among
+    all such rests, and no suffix begins behind it. Snippets of one text may overlap, so strings count once per place in their text.
     """
-    symbols, bounds, owner = [], [], []
-    for k, (data, anchor, *_) in enumerate(snippets):
-        first = anchor % SYMBOL
-        body = data[first:]
-        body += bytes(-len(body) % SYMBOL)
-        values = np.frombuffer(body, ">u8")
-        symbols.append(values)
-        bounds.append(first + SYMBOL * np.arange(len(values)))
-        owner.append(np.full(len(values), k))
-    names = np.unique(np.concatenate(symbols))
-    text: list[int] = []
-    at_of: list[np.ndarray] = []
-    for values in symbols:
-        at_of.append(len(text) + np.arange(len(values)))
-        text += (np.searchsorted(names, values) + 2).tolist()
-        text.append(1)
+    anchor = np.array([s[1] for s in snippets], np.int64)
+    ahead = anchor // SYMBOL  # whole symbols before the anchor
+    before = np.frombuffer(b"".join(s[0][s[1] % SYMBOL : s[1]] for s in snippets), ">u8")
+    rests = [s[0][s[1] :] for s in snippets]
+    ranked = sorted(set(rests))
+    number = {r: k for k, r in enumerate(ranked)}
+    rank = np.array([number[r] for r in rests], np.int64)
+    names, named = np.unique(before, return_inverse=True)
+    stop = np.cumsum(ahead + 1)
+    of = np.repeat(np.arange(len(snippets)), ahead + 1)
+    place = anchor[of] - SYMBOL * (stop[of] - 1 - np.arange(len(of)))
+    symbols = np.zeros(len(of), np.int64)
+    last = np.zeros(len(of), bool)
+    last[stop - 1] = True
+    symbols[~last], symbols[last] = named + 1, rank + len(names) + 1
+    text = symbols.tolist()
     order = suffix_order(text)
     shared = np.array(common_lengths(text, order), np.int64)
     order = np.array(order)
-    place, of = np.full(len(text), -1), np.full(len(text), -1)
-    place[np.concatenate(at_of)], of[np.concatenate(at_of)] = np.concatenate(bounds), np.concatenate(owner)
     lengths = np.array([len(s[0]) for s in snippets])
-    raw = np.full(len(text) + 1, 0, np.uint64)
-    raw[np.concatenate(at_of)] = np.concatenate(symbols).astype(np.uint64)
-    # bytes shared with the suffix ahead: whole symbols, then the equal bytes of the next, within the snippets
-    lcp = np.zeros(len(order), np.int64)
+    # bytes shared with the suffix ahead: symbols before the anchor, then the equal bytes of the rests, within the snippets;
+    # a suffix that shares less than all up to its anchor is short of a string whatever follows
     i, j = order[1:], order[:-1]
-    real = (of[i] >= 0) & (of[j] >= 0)
-    more = np.minimum(i, len(text)) + shared[1:], np.minimum(j, len(text)) + shared[1:]
-    x = raw[np.minimum(more[0], len(text))] ^ raw[np.minimum(more[1], len(text))]
-    equal = np.where(x == 0, SYMBOL, 0)
-    for b in range(SYMBOL):  # leading zero bytes of the difference
-        equal = np.where((x != 0) & (x >> np.uint64(64 - SYMBOL * (b + 1)) == 0), b + 1, equal)
-    span = shared[1:] * SYMBOL + equal
-    span = np.minimum(span, np.minimum(lengths[of[i]] - place[i], lengths[of[j]] - place[j]))
-    lcp[1:] = np.where(real, span, 0)
+    s, t = of[i], of[j]
+    reached = (shared[1:] >= stop[s] - 1 - i) & (stop[s] - i == stop[t] - j)
+    span = np.zeros(len(i), np.int64)
+    s, t = s[reached], t[reached]
+    met = anchor[s] - place[i[reached]] + _equal_bytes(ranked, rank[s], rank[t])
+    span[reached] = np.minimum(met, np.minimum(lengths[s] - place[i[reached]], lengths[t] - place[j[reached]]))
+    lcp = np.concatenate(([0], span))
     classes, texts, begins = (np.array([s[k] for s in snippets], np.int64) for k in (2, 3, 4))
-    found: list[list[np.ndarray]] = [[] for _ in snippets]
-    good = np.flatnonzero(of[order] >= 0)
-    whole = b"".join(s[0] for s in snippets)
     base = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    flat = np.frombuffer(whole, np.uint8)
+    flat = np.frombuffer(b"".join(s[0] for s in snippets), np.uint8)
+    owners, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in range(SYMBOL):
-        run = np.cumsum(lcp < length - back)[good]
-        suffix = order[good]
-        s, p = of[suffix], place[suffix]
-        # only the first symbol bound inside a string speaks for it
+        run = np.cumsum(lcp < length - back)
+        s, p = of[order], place[order]
+        # only the first symbol bound inside a string speaks for it, and a string alone in its run for none
         fits = (p - back >= 0) & (p - back + length <= lengths[s])
+        fits &= np.bincount(run, weights=fits)[run] > 1
         run, s, p = run[fits], s[fits], p[fits]
         left = np.zeros(len(p), np.uint64)
         for b in range(1, back + 1):
@@ -201,19 +222,14 @@ def repeated_starts(snippets: list[tuple[bytes, int, int, int, int]], length: in
             moved[1:] |= column[by][1:] != column[by][:-1]
         group = np.cumsum(new) - 1
         twice = np.bincount(group, weights=moved & ~new)[group] > 0 if len(by) else moved
-        for k, b in zip(s[by][twice].tolist(), (p - back)[by][twice].tolist()):
-            found[k].append(b)
-    return [np.unique(np.array(f, np.int64)) for f in found]
-
-
-def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Runs of bytes covered by strings at sorted `starts`."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length)
-    first = np.concatenate(([0], cut + 1))
-    last = np.concatenate((cut, [len(starts) - 1]))
-    return list(zip(starts[first].tolist(), (starts[last] + length).tolist()))
+        owners.append(s[by][twice])
+        starts.append((p - back)[by][twice])
+    owner, start = np.concatenate(owners), np.concatenate(starts)
+    by = np.lexsort((start, owner))
+    owner, start = owner[by], start[by]
+    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (start[1:] - start[:-1] > length))
+    first, last = (np.concatenate(k)[: len(owner)] for k in (([0], cut + 1), (cut, [len(owner) - 1])))
+    return owner[first], start[first], start[last] + length
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -323,11 +339,10 @@ def _order(length: int):
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         numbers = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
-        starts = repeated_starts([(r[5], r[3] - r[4], numbers[r[0]], r[2], r[4]) for r in rows], length)
-        out = [(r[1], r[2], r[4] + a, r[4] + b) for r, s in zip(rows, starts) for a, b in spans(s, length)]
-        columns = list(zip(*out)) if out else [()] * 4
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["cell", "row", "start", "stop"])
+        owner, start, stop = repeated_spans([(r[5], r[3] - r[4], numbers[r[0]], r[2], r[4]) for r in rows], length)
+        cell, row, begin = (np.array([r[k] for r in rows], np.int64)[owner] for k in (1, 2, 4))
+        columns = [cell, row, (begin + start).astype(np.int32), (begin + stop).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "row", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -338,7 +353,7 @@ def _order(length: int):
                     yield settle(held)
                     held, symbols = [], 0
                 held.append(row)
-                symbols += len(row[5]) // SYMBOL + 2
+                symbols += (row[3] - row[4]) // SYMBOL + 1
         if held:
             yield settle(held)
 

@@ -316,6 +316,26 @@ def test_repeated_strings(docs, empty, class_snippets):
     assert suffix_groups.without_repeats(empty).count() == 0
 
 
+def test_snippets_are_ordered_up_to_their_anchor(monkeypatch):
+    pick, gram, snippets = random.Random(4), bytes(range(65, 97)), []
+    for k in range(60):  # few kinds of surroundings, cut at any place and changed at some
+        sides = [bytes(random.Random(pick.randrange(3) + d).choices(b"abc", k=168)) for d in (0, 10)]
+        data = sides[0][pick.randrange(100) :] + gram + sides[1][: pick.randrange(60, 168)]
+        if k % 3 == 0:
+            at = pick.randrange(40)
+            data = data[:at] + b"#" + data[at + 1 :]
+        snippets.append((data, data.index(gram), 0, k, 0))
+    sizes, order = [], suffix_groups.suffix_order
+    monkeypatch.setattr(suffix_groups, "suffix_order", lambda text: sizes.append(len(text)) or order(text))
+    owner, start, stop = suffix_groups.repeated_spans(snippets, 200)
+    flags = [[False] * len(s[0]) for s in snippets]
+    for k, a, b in zip(owner.tolist(), start.tolist(), stop.tolist()):
+        flags[k][a:b] = [True] * (b - a)
+    expected = brute_windows([s[0] for s in snippets], 200)
+    assert flags == expected and any(map(any, expected)) and not all(map(all, expected))
+    assert sizes == [sum(s[1] // 8 + 1 for s in snippets)]
+
+
 def test_suffix_order():
     pick = random.Random(3)
     for _ in range(500):
