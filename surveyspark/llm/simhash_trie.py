@@ -347,6 +347,13 @@ def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _between(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """The different links `(a, b)` of roots that the links `(a, b)` of nodes leave: those inside a component go."""
+    for side in ("a", "b"):
+        links = links.join(placed.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side)
+    return links.where("root_a <> root_b").select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct()
+
+
 def _differences(nodes: DataFrame, texts: DataFrame, words_per: int) -> DataFrame:
     """Nodes `(node, root, whole)` with the `tokens` their shingles differ by from the core of their component.
 
@@ -359,7 +366,8 @@ def _differences(nodes: DataFrame, texts: DataFrame, words_per: int) -> DataFram
     sets = written(made.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "sets")
     held = sets.select("whole", F.explode("shingles").alias("token")).groupBy("whole", "token").agg(F.count("*").alias("n"))
     most = held.join(sets.groupBy("whole").agg(F.count("*").alias("all")), "whole").where("2 * n > all")
-    core = most.groupBy("whole").agg(F.collect_list("token").alias("core"))
+    # written, so that the sets need not be dealt by component for the sake of the core
+    core = written(most.groupBy("whole").agg(F.collect_list("token").alias("core")), "core")
     known = sets.join(core, "whole", "left").withColumn("core", F.coalesce("core", F.array().cast("array<bigint>")))
     apart = F.concat(F.array_except("shingles", "core"), F.array_except("core", "shingles"))
     out = known.select("node", "root", "whole", F.size("shingles").alias("size"), apart.alias("tokens"))
@@ -369,14 +377,14 @@ def _differences(nodes: DataFrame, texts: DataFrame, words_per: int) -> DataFram
 def _open_links(placed: DataFrame, texts: DataFrame, proposed: DataFrame, words_per: int) -> tuple[DataFrame, DataFrame]:
     """Links `(a, b)` of near copies, and those to be judged, which with them leave out no near copies of different roots.
 
-    Only components of `proposed` that fell into several roots count. Nodes close to the core of their component are
-    linked to the closest one. Any other pair of near copies shares some of its differences from the core: it meets at
-    the rarest of these, if that leaves enough to share behind it on both sides. Edits that a text has for itself come
+    Only components of `proposed` that fell into several roots count; they are found on the links between roots, so what
+    is accepted is not searched again. Nodes close to the core of their component are linked to the closest one. Any
+    other pair of near copies shares some of its differences from the core: it meets at the rarest of these, if that
+    leaves enough to share behind it on both sides. Edits that a text has for itself come
     first and meet nothing, so pairs arise where edits are shared, and not within all of a family.
     """
-    reach = placed.join(written(components(proposed), "reach").toDF("node", "whole"), "node").select("node", "root", "whole")
-    split = reach.groupBy("whole").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    nodes = written(reach.join(split, "whole", "left_semi"), "open")
+    reach = written(components(_between(proposed, placed)), "reach").toDF("root", "whole")
+    nodes = written(placed.select("node", "root").join(reach, "root"), "open")
     away = _differences(nodes, texts, words_per)
     closest = away.groupBy("whole").agg(F.min(F.struct("over", "node")).alias("closest"))
     away = away.join(closest, "whole").withColumn("far", F.col("over") + F.col("closest.over") > 0)
@@ -424,14 +432,16 @@ def near_copies(
     for side in ("a", "b"):
         head = heads.select("part", F.col("fp").alias(side), F.col("head").alias(f"head_{side}"))
         near = near.join(head, ["part", side])
-    links = equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))).distinct()
-    links = written(links, "links")
+    links = equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     kept = _accepted(links, classes, texts, words_per)
     placed = written(_placed(classes, kept), "placed")
     star, asked = _open_links(placed, texts, links, words_per)
-    more = written(star.unionByName(_accepted(asked, classes, texts, words_per)), "more")
-    if not more.isEmpty():
-        placed = _placed(classes, kept.unionByName(more))
+    more = star.unionByName(_accepted(asked, classes, texts, words_per))
+    more = written(_between(more, placed), "more")
+    if not more.isEmpty():  # components grow together by the links between them alone
+        tree = written(components(more), "roots").toDF("root", "whole")
+        placed = placed.join(tree, "root", "left").withColumn("root", F.coalesce("whole", "root"))
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return wide.select("doc_id", "fps").join(placed.join(names, "root").select("fps", "component_id"), "fps")
 

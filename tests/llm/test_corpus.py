@@ -194,6 +194,38 @@ def test_near_copies_of_a_family_are_not_all_paired(spark, monkeypatch):
     assert judged[-1] < 2 * len(rows)
 
 
+def test_near_copies_search_components_by_links_between_roots(spark, monkeypatch):
+    pick, base, rows = random.Random(10), prose(23, 150).split(), []
+    for k in range(120):
+        member = list(base)
+        for p in pick.sample(range(150), k % 10):
+            member[p] = f"own{k}x{p}"
+        rows.append((k, " ".join(member)))
+    given, trees, components = [], [], simhash_trie.components
+
+    def recorded(edges):
+        given.append([tuple(r) for r in edges.collect()])
+        tree = components(edges)
+        trees.append({r.node: r.root for r in tree.collect()})
+        return tree
+
+    monkeypatch.setattr(simhash_trie, "components", recorded)
+    found = simhash_trie.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = {r.doc_id: r.component_id for r in found.collect()}
+    sets = [set(simhash_trie.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = np.array([[5 * len(x & y) >= 4 * len(x | y) for y in sets] for x in sets])
+    label = np.arange(len(rows))
+    while (new := np.where(alike, label, len(rows)).min(1)).tolist() != label.tolist():
+        label = new
+    assert groups == dict(enumerate(label.tolist()))
+    assert len(given) > 1 and all(given)
+    for edges in given[1:]:  # what the first search joined stands for one node, and a pair of nodes comes once
+        ends = [frozenset(e) for e in edges]
+        assert len(set(ends)) == len(ends)
+        assert all(trees[0].get(n, n) == n for e in edges for n in e)
+    assert len(set(map(frozenset, given[0]))) == len(given[0])
+
+
 def test_bpe_equals_tiktoken(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_duckdb.read_ranks(path), special_tokens={})
