@@ -87,3 +87,24 @@ def test_reports_of_one_class_and_of_nothing(spark):
     assert (row.status, row.top_segment_ids, row.provisional_peak_start) == ("no-data", [], None)
     report, folds = md.model_report(empty, None)
     assert report.first().status == "insufficient-data" and folds.count() == 0
+
+
+def test_learning_table_recovers_roads_by_the_field_rules(spark, monkeypatch):
+    import inspect
+
+    from surveyspark.operators.recovery import RecoveryRules
+    from surveyspark.plans import nightly
+    from surveyspark.plans.catalog import QUERIES
+
+    asked = []
+    shape = inspect.signature(nightly.learning_table)
+
+    def noted(*args, **named):
+        call = shape.bind(*args, **named)
+        call.apply_defaults()
+        asked.append(call.arguments["rules"])
+        return {"learning": None}
+
+    monkeypatch.setattr(nightly, "learning_table", noted)
+    QUERIES["learning_table"](spark, "/root/testdata/sf0.001")
+    assert asked == [RecoveryRules()]
